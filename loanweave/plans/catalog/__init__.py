@@ -1,9 +1,9 @@
-from loanweave.plans.catalog import collateral, gold, performance, silver
+from loanweave.plans.catalog import collateral, features, gold, performance, quality, silver, sources
 from loanweave.plans.catalog.base import Catalog
 
 
 def load() -> Catalog:
     catalog = Catalog()
-    for area in (silver, gold, collateral, performance):
+    for area in (sources, silver, gold, collateral, performance, quality, features):
         area.register(catalog)
     return catalog
