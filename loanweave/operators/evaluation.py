@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,10 +127,11 @@ def calibration_curve(df: DataFrame, target: str, score: str, bins: int = 10) ->
     )
     inner = [i / bins for i in range(1, bins)]
     edges = exact_quantiles(rows, "p", inner)
-    listed = edges.select(F.array(*[f"q{i}" for i in range(len(inner))])).scalar()
+    row = edges.select(F.struct(*edges.columns)).scalar()
     # A row belongs to the bin numbered by how many inner edges lie below it.
+    below = [F.when(row[name] < F.col("p"), 1).otherwise(0) for name in edges.columns]
     return (
-        rows.withColumn("bin", F.size(F.filter(listed, lambda e: e < F.col("p"))).cast("bigint"))
+        rows.withColumn("bin", reduce(lambda a, b: a + b, below).cast("bigint"))
         .groupBy("bin")
         .agg(
             F.count(F.lit(1)).alias("observations"),
