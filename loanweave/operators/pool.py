@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanweave.fixed import (
@@ -209,11 +209,18 @@ class _Greedy:
             & F.col("pos").between(first, last - 1)
         )
 
-    @staticmethod
-    def _running(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-        """Running balance by position within ``keys``: block totals first, then inside blocks."""
-        from pyspark.sql import Window
+    def _running(self, rows: DataFrame, keys: Sequence[str], first: int, last: int) -> DataFrame:
+        """Running balance by position within ``keys``.
 
+        Rows of one block are few enough for a plain window. Several blocks are totalled first,
+        one row per block, and each block's window starts from the total before it.
+        """
+        upto = (Window.unboundedPreceding, Window.currentRow)
+        if first // BLOCK_ROWS == (last - 1) // BLOCK_ROWS:
+            one = Window.partitionBy(*(keys or ["block"]))
+            return rows.withColumn(
+                "running", F.sum("upb").over(one.orderBy("pos").rowsBetween(*upto))
+            )
         before = Window.partitionBy(*keys).orderBy("block").rowsBetween(
             Window.unboundedPreceding, -1
         )
@@ -222,14 +229,12 @@ class _Greedy:
             .agg(F.sum("upb").alias("t"))
             .select("block", *keys, F.coalesce(F.sum("t").over(before), F.lit(0.0)).alias("start"))
         )
-        inside = (
-            Window.partitionBy("block", *keys)
-            .orderBy("pos")
-            .rowsBetween(Window.unboundedPreceding, 0)
+        inside = Window.partitionBy("block", *keys).orderBy("pos").rowsBetween(*upto)
+        return (
+            rows.withColumn("local", F.sum("upb").over(inside))
+            .join(starts, ["block", *keys], "inner")
+            .withColumn("running", F.col("local") + F.col("start"))
         )
-        return rows.withColumn("local", F.sum("upb").over(inside)).join(
-            starts, ["block", *keys], "inner"
-        ).withColumn("running", F.col("local") + F.col("start"))
 
     def _fill_states(self, first: int, last: int, ceiling_room: float) -> list[tuple]:
         """State-wise selection of [first, last) for loans no larger than ``ceiling_room``."""
@@ -248,7 +253,7 @@ class _Greedy:
                 rows = rows.where(F.col("state").isin(*open_states))
             limit = self._per_state(room, self.state_cap)
             step = (
-                self._running(rows, ["state"])
+                self._running(rows, ["state"], first, last)
                 .groupBy("state")
                 .agg(
                     F.max(F.when(F.col("running") <= limit, F.col("running"))).alias("used"),
@@ -325,7 +330,7 @@ class _Greedy:
             last = min(size, first + width)
             room = self.upper - self.total
             stretches = self._fill_states(first, last, room)
-            running = self._running(self._taken(first, last, stretches), [])
+            running = self._running(self._taken(first, last, stretches), [], first, last)
             reach = (
                 running.where(F.col("running") + F.lit(self.total) >= self.lower)
                 .agg(F.min_by(F.struct("pos", "running"), "pos").alias("at"))

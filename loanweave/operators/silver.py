@@ -233,8 +233,11 @@ def store_panel(
             return StoredPanel(stored, rows, history, None)
         width = spark.sparkContext.defaultParallelism
         buckets = min(MAX_BUCKETS, max(width, math.ceil(rows / rows_per_file)))
+        # Both sides are placed by loan and every bucket is bounded, so a hash table of one
+        # bucket's loans saves sorting the wide monthly rows for the join.
+        placed = performance.repartition(buckets, "loan_id")
         (
-            build_panel(performance.repartition(buckets, "loan_id"), origination)
+            build_panel(placed, origination.hint("shuffle_hash"))
             .write.partitionBy("reporting_year")
             .bucketBy(buckets, "loan_id")
             .sortBy("loan_id", "reporting_period")

@@ -39,11 +39,15 @@ def _ranked(c: Context) -> DataFrame:
 _pools: dict[tuple, DataFrame] = {}
 
 
-def _pool(c: Context, tolerance: float = 0.5) -> DataFrame:
-    """The selected pool, stored, since several queries describe it."""
-    key = (c.spark.sparkContext.applicationId, c.sf_dir, tolerance)
+def _select(c: Context, tolerance: float) -> DataFrame:
+    return P.select_pool(_ranked(c), TARGET_UPB, tolerance)
+
+
+def _pool(c: Context) -> DataFrame:
+    """The selected pool, stored once a session, since several queries describe it."""
+    key = (c.spark.sparkContext.applicationId, c.sf_dir)
     if key not in _pools:
-        _pools[key] = written(P.select_pool(_ranked(c), TARGET_UPB, tolerance), "pool")
+        _pools[key] = written(_select(c, 0.5), "pool")
     return _pools[key]
 
 
@@ -209,7 +213,7 @@ def register(catalog: Catalog) -> None:
     for name, tolerance in (("pool_greedy", 0.5), ("pool_greedy_wide", 5.0)):
         add(
             name,
-            lambda c, tolerance=tolerance: _pool(c, tolerance).select(
+            lambda c, tolerance=tolerance: _select(c, tolerance).select(
                 "loan_id", "property_state", "current_upb", "composite_score"
             ),
             "SELECT loan_id, property_state, current_upb, composite_score FROM pool",
