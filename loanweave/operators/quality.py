@@ -152,7 +152,7 @@ def validate(df: DataFrame, rules: Sequence[Rule], run_id: str | None = None) ->
 def quarantine(df: DataFrame, rules: Sequence[Rule], run_id: str = "") -> DataFrame:
     """One record per failing row and FAIL or QUARANTINE rule.
 
-    ``row_index`` numbers a rule's failing rows by loan and period. The numbering is a
+    ``row_index`` numbers a rule's failing rows by loan, period and source. The numbering is a
     distributed running count, since one bad load may fail a large part of the table.
     """
     held = [r for r in rules if r.severity in ("FAIL", "QUARANTINE")]
@@ -184,7 +184,7 @@ def quarantine(df: DataFrame, rules: Sequence[Rule], run_id: str = "") -> DataFr
     ).select("m.*", "loan_id", "reporting_period", "source_file")
     numbered = running_sums(
         records,
-        ["loan_id", "reporting_period"],
+        ["loan_id", "reporting_period", "source_file"],
         {"__n": F.lit(1)},
         within=["rule_id"],
         label="quarantine",

@@ -74,8 +74,8 @@ def _results(source: str, dataset: str, rules: list) -> str:
 def _records(source: str, dataset: str, rules: list, period: str) -> str:
     return " UNION ALL ".join(
         f"""SELECT '{dataset}' AS dataset, '{rule}' AS rule_id,
-              row_number() OVER (ORDER BY loan_id NULLS FIRST, {period} NULLS FIRST) - 1
-                AS row_index,
+              row_number() OVER (ORDER BY loan_id NULLS FIRST, {period} NULLS FIRST,
+                _source_file) - 1 AS row_index,
               loan_id, {period} AS reporting_period, _source_file AS source_file
             FROM {source} WHERE {bad}"""
         for rule, severity, bad in rules
