@@ -250,13 +250,28 @@ def store_panel(
 # --- slices and summaries ----------------------------------------------------------------
 
 
+def within_periods(
+    panel: DataFrame, start: dt.date | None = None, end: dt.date | None = None
+) -> DataFrame:
+    """Rows of periods in [start, end], with the same bounds on the partition column if any.
+
+    The bounds on ``reporting_year`` let the scan skip the other years' files.
+    """
+    rows = panel
+    years = "reporting_year" in panel.columns
+    if start is not None:
+        rows = rows.where(F.col("reporting_period") >= F.lit(start))
+        rows = rows.where(F.col("reporting_year") >= start.year) if years else rows
+    if end is not None:
+        rows = rows.where(F.col("reporting_period") <= F.lit(end))
+        rows = rows.where(F.col("reporting_year") <= end.year) if years else rows
+    return rows
+
+
 def latest_period(panel: DataFrame, cutoff: dt.date | None = None, active_only: bool = True):
     """Scalar: the last reporting period, optionally not after ``cutoff``."""
-    rows = panel.where(~F.col("is_terminal")) if active_only else panel
-    if cutoff is not None:
-        rows = rows.where(F.col("reporting_period") <= F.lit(cutoff))
-        if "reporting_year" in panel.columns:
-            rows = rows.where(F.col("reporting_year") <= cutoff.year)
+    rows = within_periods(panel, end=cutoff)
+    rows = rows.where(~F.col("is_terminal")) if active_only else rows
     return rows.select(F.max("reporting_period")).scalar()
 
 
@@ -276,11 +291,8 @@ def panel_range(
     panel: DataFrame, start: dt.date, end: dt.date, active_only: bool = False
 ) -> DataFrame:
     """Rows with a period in [start, end], ordered by loan and period."""
-    rows = panel.where(F.col("reporting_period").between(F.lit(start), F.lit(end)))
-    if "reporting_year" in panel.columns:
-        rows = rows.where(F.col("reporting_year").between(start.year, end.year))
-    if active_only:
-        rows = rows.where(~F.col("is_terminal"))
+    rows = within_periods(panel, start, end)
+    rows = rows.where(~F.col("is_terminal")) if active_only else rows
     return rows.orderBy("loan_id", "reporting_period")
 
 

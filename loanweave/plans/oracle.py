@@ -33,7 +33,13 @@ def _flag(column: str) -> str:
 
 
 RAW = f"""
-base AS (SELECT {_list(D.BASE)} FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
+base AS (
+  SELECT {_list(D.BASE)}
+  FROM (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderkey
+          ORDER BY {", ".join(f"{c} DESC NULLS LAST" for c in D._ORDER)}) = 1)
+  LEFT JOIN (SELECT c_custkey, max(c_nationkey) AS c_nationkey FROM customer GROUP BY 1)
+    ON o_custkey = c_custkey
+),
 rawo AS (SELECT {_list(D.ORIGINATION)} FROM base),
 aged AS (
   SELECT base.*, age FROM base, (SELECT unnest(range(1, {D.MAX_AGE + 1})) AS age)
