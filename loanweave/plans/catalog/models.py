@@ -17,16 +17,17 @@ from loanweave.plans.catalog.features import SNAPSHOTS
 from loanweave.plans.catalog.performance import SEVERITY
 from loanweave.storage import written
 
-# Fixed scores as SQL, the same text in both engines.
+# Fixed scores as SQL, the same text in both engines. Rounding makes ties, which the curves must
+# merge; the odd factor keeps their averages off the half-way points of the published digits.
 CREDIT = (
-    "round(1e0 / (1e0 + exp(0e0 - ((700e0 - coalesce(fico, 700)) / 60e0 - 45e-1 "
+    "99999e-5 * round(1e0 / (1e0 + exp(0e0 - ((700e0 - coalesce(fico, 700)) / 60e0 - 45e-1 "
     "+ (original_ltv - 80e0) / 25e0 + 9e-1 * coalesce(delinquency_months, 0)))), 6)"
 )
 PREPAY = (
-    "round(1e0 / (1e0 + exp(0e0 - ((coalesce(fico, 700) - 720e0) / 90e0 - 18e-1 "
+    "99999e-5 * round(1e0 / (1e0 + exp(0e0 - ((coalesce(fico, 700) - 720e0) / 90e0 - 18e-1 "
     "+ (current_interest_rate - 5e0) / 3e0))), 6)"
 )
-LOSS = "round(5e-2 + 4e-3 * (original_ltv - 45e0), 6)"
+LOSS = "99999e-5 * round(5e-2 + 4e-3 * (original_ltv - 45e0), 6)"
 TARGET, SCORE = "credit_event_12m", "credit_event_score"
 
 SCORED = f"""
