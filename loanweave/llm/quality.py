@@ -64,7 +64,7 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
         .orderBy(F.xxhash64("_label_id"), "_label_id", "label").limit(train_rows)
     )
     known = (
-        documents.select("doc_id", "text")
+        for_tasks(documents).select("doc_id", "text")
         .join(F.broadcast(wanted), F.col("doc_id") == F.col("_label_id"))  # train_rows rows at most
         .select("label", _features("text").alias("raw"))
         .select("label", array_to_vector("raw").alias("raw"))
