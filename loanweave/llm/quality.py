@@ -153,12 +153,16 @@ def score(
         .withColumnRenamed("pn", "n"),
         "m", F.col("prior"),
     )
-    sites = sites.select(F.col("_lw_host").alias("_h"), F.col("_lw_path").alias("_p"),
-                         "pn", "ps", "hn", "hs")
+    sites = sites.select(
+        F.col("_lw_host").alias("_lw_site"), F.col("_lw_path").alias("_lw_section"),
+        *[F.col(c).alias(f"_lw_{c}") for c in ("pn", "ps", "hn", "hs")],
+    )
     own, one = F.coalesce("_lw_p", F.lit(0.0)), F.when(F.col("_lw_p").isNull(), 0).otherwise(1)
     # One row per site; Spark broadcasts it if its measured size allows, else splits hot sites.
     joined = base.join(
-        sites, F.col("_lw_host").eqNullSafe(F.col("_h")) & F.col("_lw_path").eqNullSafe(F.col("_p"))
+        sites,
+        F.col("_lw_host").eqNullSafe(F.col("_lw_site"))
+        & F.col("_lw_path").eqNullSafe(F.col("_lw_section")),
     )
     by_host = (at_host * F.lit(mean) + F.col("_lw_hs") - own) / (at_host + F.col("_lw_hn") - one)
     by_path = (at_path * F.col("host_posterior") + F.col("_lw_ps") - own) / (
@@ -166,11 +170,8 @@ def score(
     )
     evidence = F.coalesce("_lw_p", F.lit(mean))
     final = _logit(evidence) + _logit(F.col("path_posterior")) - _logit(F.lit(mean))
-    renamed = joined.select(
-        *kept, "_lw_p", *[F.col(c).alias(f"_lw_{c}") for c in ("pn", "ps", "hn", "hs")]
-    )
     return (
-        renamed.withColumn("evidence", evidence)
+        joined.withColumn("evidence", evidence)
         .withColumn("host_posterior", by_host)
         .withColumn("path_posterior", by_path)
         .withColumn("score", 1 / (1 + F.exp(-final)))
