@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from loanweave.sources.tape import read_tapes, with_source
+from loanweave.sources.tape import read_tapes, with_source, write_bronze
 
 
 def ingest_stream(
@@ -15,7 +15,10 @@ def ingest_stream(
     """Process the tape files not yet seen by this checkpoint, then stop.
 
     The file source remembers each path in the checkpoint, so a restart or a second run reads
-    only what is new. Content copies under other names are the checksum log's business.
+    only what is new. Rows go to the folders that batch ingestion writes, so both can feed one
+    Bronze; a repeated batch replaces its own sources. Here a source is one file: one in parts,
+    which may come in several batches, is refused. Content copies under other names are the
+    checksum log's business; the log lacks streamed tapes until the next batch run adds them.
     """
     text = (
         spark.readStream.format("text")
@@ -24,19 +27,16 @@ def ingest_stream(
         .option("maxFilesPerTrigger", files_per_batch)
         .load(raw)
     )
-    lines = with_source(text).withColumn("_ingested_at", F.current_timestamp().cast("string"))
+    lines = with_source(text, part=True).withColumn(
+        "_ingested_at", F.current_timestamp().cast("string")
+    )
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        stamped = batch.withColumn("_ingest_batch", F.lit(batch_id))
+        if not batch.where(F.col("_source_part").startswith("part-")).isEmpty():
+            raise ValueError("sources in parts cannot be streamed; ingest them as a batch")
         for kind in ("origination", "performance"):
-            # A repeated batch replaces its own partitions instead of adding rows twice.
-            rows = read_tapes(stamped, kind, keep=("_ingested_at", "_ingest_batch"))
-            (
-                rows.write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .option("compression", "snappy")
-                .partitionBy("_source_vintage", "_ingest_batch")
-                .parquet(f"{bronze}/{kind}")
+            write_bronze(
+                read_tapes(batch, kind, keep=("_ingested_at",)), bronze, kind, replace_sources=True
             )
 
     return (
