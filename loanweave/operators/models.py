@@ -15,13 +15,16 @@ from pyspark.sql import functions as F
 from loanweave.fixed import MODEL_FEATURES, POST_LOSS_COLUMNS, SEVERITY_FEATURES, SURVIVAL_FEATURES
 from loanweave.operators.evaluation import (
     classification_metrics,
+    portfolio_backtest,
     roc_pr_auc,
     score_thresholds,
     severity_errors,
     top_decile_capture,
 )
 from loanweave.operators.ordered import exact_quantiles
+from loanweave.operators.features import temporal_split
 from loanweave.operators.performance import severity_loans
+from loanweave.storage import written
 
 MAX_SEVERITY = 1.5
 
@@ -85,14 +88,20 @@ def _labelled(df: DataFrame, target: str) -> DataFrame:
 
 def fit_logistic(
     train: DataFrame, target: str, features: Sequence[str] = tuple(MODEL_FEATURES),
-    max_iter: int = 100,
+    max_iter: int = 1000, inverse_penalty: float = 1.0,
 ) -> PipelineModel:
-    """Median imputation, scaling and class-balanced logistic regression."""
+    """Median imputation, scaling and class-balanced logistic regression.
+
+    The loss is summed over rows against a unit ridge over ``inverse_penalty``; Spark takes the
+    mean loss, hence the division by the weights' sum, which is the number of rows.
+    """
     rows = _labelled(train, target)
     events, others = _class_counts(rows, target)
     n = events + others
     weight = F.when(F.col("label") == 1, n / (2.0 * events)).otherwise(n / (2.0 * others))
-    model = LogisticRegression(weightCol="class_weight", maxIter=max_iter)
+    model = LogisticRegression(
+        weightCol="class_weight", maxIter=max_iter, regParam=1.0 / (inverse_penalty * n)
+    )
     return Pipeline(stages=[*_stages(features, True, True), model]).fit(
         numeric_features(rows, features).withColumn("class_weight", weight)
     )
@@ -112,24 +121,57 @@ def fit_logistic_full(
     )
 
 
+PATIENCE = 35  # rounds without a better validation loss after which boosting stops
+
+
+def _with_patience(
+    stages: list, booster, rows: DataFrame, validation: DataFrame, max_iter: int, losses
+) -> PipelineModel:
+    """Boosting stopped at the best validation loss that ``PATIENCE`` further rounds do not better.
+
+    Trees do not depend on how many follow, so the number of rounds is doubled until the patience
+    runs out or ``max_iter`` is reached, and the model is then fitted to the best count.
+    """
+    prepared = Pipeline(stages=stages).fit(rows)
+    train, check = (written(prepared.transform(x), "boosting") for x in (rows, validation))
+    rounds = min(max_iter, 2 * PATIENCE)
+    while True:
+        model = booster.setMaxIter(rounds).fit(train)
+        curve = losses(model, check)
+        best = min(range(len(curve)), key=curve.__getitem__) + 1
+        if best + PATIENCE <= rounds or rounds == max_iter:
+            break
+        rounds = min(max_iter, 2 * rounds)
+    if best < rounds:
+        model = booster.setMaxIter(best).fit(train)
+    return PipelineModel(stages=[*prepared.stages, model])
+
+
+def tree_count(model: PipelineModel) -> int:
+    """Trees of the boosted model at the end of a pipeline."""
+    return model.stages[-1].getNumTrees
+
+
 def fit_gbt(
     train: DataFrame, validation: DataFrame, target: str,
     features: Sequence[str] = tuple(MODEL_FEATURES), max_iter: int = 350, max_depth: int = 4,
     step: float = 0.05,
 ) -> PipelineModel:
-    """Boosted trees with class weight, stopped early on the validation vintages."""
-    rows = _labelled(train, target).withColumn("validating", F.lit(False)).unionByName(
-        _labelled(validation, target).withColumn("validating", F.lit(True))
-    )
+    """Boosted trees with class weight, stopped early on all rows of the validation vintages."""
     events, others = _class_counts(train.where(F.col(target).isNotNull()), target)
     weight = F.when(F.col("label") == 1, others / float(events)).otherwise(1.0)
-    model = GBTClassifier(
-        maxIter=max_iter, maxDepth=max_depth, stepSize=step, subsamplingRate=0.8,
-        featureSubsetStrategy="0.85", minInstancesPerNode=25, weightCol="class_weight",
-        validationIndicatorCol="validating", seed=42,
+
+    def prepared(df: DataFrame) -> DataFrame:
+        rows = numeric_features(_labelled(df, target), features, fill=0.0)
+        return rows.withColumn("class_weight", weight)
+
+    booster = GBTClassifier(
+        maxDepth=max_depth, stepSize=step, subsamplingRate=0.8, featureSubsetStrategy="0.85",
+        minInstancesPerNode=25, weightCol="class_weight", seed=42,
     )
-    return Pipeline(stages=[*_stages(features, False, False), model]).fit(
-        numeric_features(rows, features, fill=0.0).withColumn("class_weight", weight)
+    return _with_patience(
+        _stages(features, False, False), booster, prepared(train), prepared(validation), max_iter,
+        lambda model, rows: model.evaluateEachIteration(rows),
     )
 
 
@@ -211,6 +253,40 @@ def run_record(
     )
 
 
+# --- composed jobs -----------------------------------------------------------------------
+
+
+def baseline_job(
+    snapshots: DataFrame, target: str, train_end: int, validation_end: int,
+    features: Sequence[str] = tuple(MODEL_FEATURES),
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The baseline over vintages: fit on those up to ``train_end``, score those after
+    ``validation_end``; (scored rows, one row of metrics, backtest by date and vintage)."""
+    split = temporal_split(_labelled(snapshots, target).drop("label"), train_end, validation_end)
+    train = written(split.where(F.col("split") == "train"), "baseline-train")
+    test = split.where(F.col("split") == "test").drop("split")
+    # Scored once, stored, and read by every measure.
+    scored = written(score(fit_logistic(train, target, features), test, "score", features), "baseline-scores")
+    metrics = metric_row(scored, "baseline", target, "score")
+    return scored, metrics, portfolio_backtest(scored, target, "score", ("scoring_date", "origination_year"))
+
+
+def split_backtest(
+    snapshots: DataFrame, target: str, years: Sequence[int],
+    features: Sequence[str] = tuple(MODEL_FEATURES),
+) -> DataFrame:
+    """The baseline's backtest for several splits: fitted on vintages up to each year and tested
+    on those after it; one row per split year, date and vintage."""
+    tables = [
+        baseline_job(snapshots, target, year, year, features)[2].withColumn("split_year", F.lit(year))
+        for year in years
+    ]
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.unionByName(table)
+    return out
+
+
 # --- severity ----------------------------------------------------------------------------
 
 
@@ -248,18 +324,17 @@ def fit_severity_gbt(
     max_iter: int = 300, max_depth: int = 5,
 ) -> PipelineModel:
     """Boosted-tree severity regression, stopped early on the validation vintages."""
-    rows = (
-        train.withColumn("validating", F.lit(False))
-        .unionByName(validation.withColumn("validating", F.lit(True)))
-        .withColumn("label", F.col("loss_severity"))
+    booster = GBTRegressor(
+        maxDepth=max_depth, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8",
+        minInstancesPerNode=20, seed=42,
     )
-    model = GBTRegressor(
-        maxIter=max_iter, maxDepth=max_depth, stepSize=0.05, subsamplingRate=0.8,
-        featureSubsetStrategy="0.8", minInstancesPerNode=20,
-        validationIndicatorCol="validating", seed=42,
+    rows, check = (
+        numeric_features(df.withColumn("label", F.col("loss_severity")), features)
+        for df in (train, validation)
     )
-    return Pipeline(stages=[*_stages(features, True, False), model]).fit(
-        numeric_features(rows, features)
+    return _with_patience(
+        _stages(features, True, False), booster, rows, check, max_iter,
+        lambda model, df: model.evaluateEachIteration(df, "squared"),
     )
 
 

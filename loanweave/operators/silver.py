@@ -217,8 +217,11 @@ def store_panel(
     ``MAX_HISTORY`` rows no buckets are made, since its bucket would be one task's work.
     """
     spark = performance.sparkSession
+    # Rows without a loan, or of none in ``origination``, never reach the panel.
+    performance = performance.where(F.col("loan_id").isNotNull())
+    known = origination.select("loan_id").distinct()
     sizes = (
-        performance.groupBy("loan_id")
+        performance.join(known, "loan_id", "left_semi").groupBy("loan_id")
         .agg(F.count(F.lit(1)).alias("n"))
         .agg(F.max("n").alias("longest"), F.sum("n").alias("rows"))
         .first()
@@ -233,11 +236,8 @@ def store_panel(
             return StoredPanel(stored, rows, history, None)
         width = spark.sparkContext.defaultParallelism
         buckets = min(MAX_BUCKETS, max(width, math.ceil(rows / rows_per_file)))
-        # Both sides are placed by loan and every bucket is bounded, so a hash table of one
-        # bucket's loans saves sorting the wide monthly rows for the join.
-        placed = performance.repartition(buckets, "loan_id")
         (
-            build_panel(placed, origination.hint("shuffle_hash"))
+            build_panel(performance.repartition(buckets, "loan_id"), origination)
             .write.partitionBy("reporting_year")
             .bucketBy(buckets, "loan_id")
             .sortBy("loan_id", "reporting_period")

@@ -101,17 +101,18 @@ def _split(c: Context, which: str) -> DataFrame:
 
 def _full(c: Context, target: str):
     return _once(
-        c, f"full {target}", lambda: M.fit_logistic_full(_split(c, "train"), target, max_iter=50)
+        c, f"full {target}", lambda: M.fit_logistic_full(_split(c, "train"), target)
     )
 
 
-def _gbt(c: Context, target: str):
-    keep = {"credit_event_12m": 10, "prepayment_12m": 1}[target]
+# Percent of the non-events that the boosted models are fitted on; all rows validate and are scored.
+FIT_NON_EVENTS = {"credit_event_12m": 10, "prepayment_12m": 1}
+
 
+def _gbt(c: Context, target: str):
     def fit():
-        train = X.negative_downsample(_split(c, "train"), target, keep)
-        check = X.negative_downsample(_split(c, "validation"), target, keep)
-        return M.fit_gbt(train, check, target, max_iter=20)
+        train = X.negative_downsample(_split(c, "train"), target, FIT_NON_EVENTS[target])
+        return M.fit_gbt(train, _split(c, "validation"), target)
 
     return _once(c, f"gbt {target}", fit)
 
@@ -168,6 +169,28 @@ def _score_as_of(c: Context) -> DataFrame:
     )
 
 
+def _in_range(backtest: DataFrame) -> DataFrame:
+    return backtest.withColumn("in_range", F.col("predicted_rate").between(0, 1)).drop(
+        "predicted_rate", "prediction_bias"
+    )
+
+
+def _balance(c: Context, target: str) -> DataFrame:
+    """Rows and events of the logistic fit, and whether weighted expected events meet the events."""
+    train = _split(c, "train").where(F.col(target).isNotNull())
+    model = _once(c, "logistic", lambda: M.fit_logistic(_split(c, "train"), target))
+    rows = M.score(model, train, "p").groupBy().agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(target).cast("bigint")).alias("e"),
+        F.avg(F.when(F.col(target) == 1, 1 - F.col("p"))).alias("short"),
+        F.avg(F.when(F.col(target) != 1, F.col("p"))).alias("over"),
+    )
+    # Each class weighs one half in all: the mean shortfall of events is the mean excess of others.
+    return rows.select(
+        F.col("n").alias("observations"), F.col("e").alias("events"),
+        (F.abs(F.col("short") - F.col("over")) < 1e-3).alias("balanced"),
+    )
+
+
 def register(catalog: Catalog) -> None:
     add = catalog.add
     add(
@@ -326,11 +349,13 @@ def register(catalog: Catalog) -> None:
     credit, prepay = "credit_event_12m", "prepayment_12m"
     add("fit_logistic", lambda c: _metrics(
         c,
-        _once(c, "logistic", lambda: M.fit_logistic(_split(c, "train"), credit, max_iter=50)),
+        _once(c, "logistic", lambda: M.fit_logistic(_split(c, "train"), credit)),
         "logistic", credit, None,
     ))
     add("fit_logistic_full", lambda c: _metrics(c, _full(c, credit), "full_logistic", credit, 0.0))
-    add("fit_gbt", lambda c: _metrics(c, _gbt(c, credit), "gbt_challenger", credit, 0.0))
+    add("fit_gbt", lambda c: _metrics(
+        c, _gbt(c, credit), "gbt_challenger", credit, 0.0
+    ).withColumn("trees", F.lit(M.tree_count(_gbt(c, credit)))))
     add("feature_importance", lambda c: M.feature_importance(_gbt(c, credit), credit))
     add(
         "model_comparison",
@@ -350,7 +375,6 @@ def register(catalog: Catalog) -> None:
         _once(c, "severity gbt", lambda: M.fit_severity_gbt(
             _severity_rows(c, False).where(F.col("origination_year") <= TRAIN_END),
             _severity_rows(c, False).where(F.col("origination_year") > TRAIN_END),
-            max_iter=20,
         )),
         _severity_rows(c, True), "gbt_conditional_severity"))
     add("fit_aft_credit", lambda c: M.predict_survival(
@@ -359,5 +383,62 @@ def register(catalog: Catalog) -> None:
         _aft(c, "is_voluntary_prepayment"), _survival(c, "is_voluntary_prepayment", True)))
     add("aft_metrics", lambda c: _aft_row(c, "is_credit_event", "aft_credit").unionByName(
         _aft_row(c, "is_voluntary_prepayment", "aft_prepayment")))
+    # What SQL can state of a fit: which rows, how many events, scores in range, the balance of
+    # events and expected events that every logistic fit with an intercept has.
+    test_rows = f"origination_year > {VALIDATION_END}"
+    cohorts = f"""count(*) AS observations, avg(CAST({credit} AS DOUBLE)) AS realized_rate,
+      true AS in_range FROM snaps WHERE {credit} IS NOT NULL"""
+    add(
+        "baseline_backtest",
+        lambda c: _in_range(M.baseline_job(
+            _once(c, "snapshots", lambda: written(c.snapshots, "snapshots")), credit, TRAIN_END,
+            VALIDATION_END,
+        )[2]),
+        f"SELECT scoring_date, origination_year, {cohorts} AND {test_rows} GROUP BY ALL",
+        "realized_rate",
+        SNAPSHOTS,
+    )
+    splits = (TRAIN_END, TRAIN_END + 1)
+    add(
+        "split_backtest",
+        lambda c: _in_range(M.split_backtest(
+            _once(c, "snapshots", lambda: written(c.snapshots, "snapshots")), credit, splits
+        )),
+        " UNION ALL ".join(
+            f"""SELECT {year} AS split_year, scoring_date, origination_year, {cohorts}
+                AND origination_year > {year} GROUP BY ALL""" for year in splits
+        ),
+        "realized_rate",
+        SNAPSHOTS,
+    )
+    add(
+        "logistic_balance",
+        lambda c: _balance(c, credit),
+        f"""SELECT count(*) AS observations, CAST(sum({credit}) AS BIGINT) AS events,
+              true AS balanced FROM snaps
+            WHERE {credit} IS NOT NULL AND origination_year <= {TRAIN_END}""",
+        ctes=SNAPSHOTS,
+    )
+    add(
+        "score_oot_rows",
+        lambda c: M.score_holdout(_split(c, "test"), _models(c)).select(
+            "loan_id", "scoring_date", "origination_year", credit,
+            *[F.col(name).between(0, 1).alias(name) for name in _models(c)],
+        ),
+        f"""SELECT loan_id, scoring_date, origination_year, {credit}, true AS credit_event_score,
+              true AS prepayment_score, true AS credit_event_gbt_score
+            FROM snaps WHERE {test_rows}""",
+        ctes=SNAPSHOTS,
+    )
+    add(
+        "score_as_of_rows",
+        lambda c: _score_as_of(c).select(
+            "loan_id", *[F.col(name).between(0, 1).alias(name) for name in _models(c)],
+            F.col("loss_severity_score").between(0, 1.5).alias("loss_severity_score"),
+        ),
+        f"""SELECT loan_id, true AS credit_event_score, true AS prepayment_score,
+              true AS credit_event_gbt_score, true AS loss_severity_score
+            FROM panel WHERE reporting_period = DATE '{CUTOFF}'""",
+    )
     add("score_oot", lambda c: M.score_holdout(_split(c, "test"), _models(c)))
     add("score_as_of", _score_as_of)

@@ -163,6 +163,39 @@ def test_severity_trees(rows):
     assert row["mae"] < 0.13
 
 
+def test_boosting_goes_on_while_it_helps(spark):
+    """A smooth signal at a small step needs more than 50 trees, and gets them."""
+    rows = spark.createDataFrame(
+        [(600 + i % 200, 80.0, (i % 200) / 200.0) for i in range(1200)],
+        "fico int, original_ltv double, loss_severity double")
+    model = M.fit_severity_gbt(rows, rows, FEATURES, max_iter=120)
+    assert M.tree_count(model) > 50
+
+
+def test_boosting_stops_on_noise(spark):
+    rng = random.Random(3)
+    rows = spark.createDataFrame(
+        [(rng.randint(600, 800), rng.uniform(50, 100), int(rng.random() < 0.5)) for _ in range(900)],
+        "fico int, original_ltv double, event int")
+    half = rows.randomSplit([0.5, 0.5], 1)
+    assert M.tree_count(M.fit_gbt(half[0], half[1], "event", FEATURES)) < 40
+
+
+def test_logistic_penalty_is_of_the_summed_loss(rows):
+    """Coefficients on standardised features have a zero gradient of loss plus half the ridge."""
+    clean = rows.where("fico is not null").limit(400).cache()
+    model = M.fit_logistic(clean, "event", FEATURES, inverse_penalty=0.01)
+    f = clean.toPandas()
+    x = f[FEATURES].to_numpy(float)
+    x = (x - x.mean(0)) / x.std(0, ddof=1)
+    y = f["event"].to_numpy(float)
+    w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    b, a = model.stages[-1].coefficients.toArray(), model.stages[-1].intercept
+    p = 1 / (1 + np.exp(-(x @ b + a)))
+    gradient = x.T @ (w * (p - y)) + b / 0.01
+    assert np.abs(gradient).max() < 0.02 * np.abs(b / 0.01).max() and abs((w * (p - y)).sum()) < 0.5
+
+
 def test_survival(frame):
     rng = random.Random(1)
     rows = []
