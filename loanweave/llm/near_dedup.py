@@ -1,17 +1,21 @@
 """Near duplicates: improved consistent weighted sampling over TF-IDF shingles.
 
 A text is the weighted set of its five-word shingles: weight = count in the text times a smoothed,
-bounded inverse document frequency, idf = 1 + ln((1 + N) / (1 + df)) / ln(1 + N), between 1 and 2.
+bounded inverse document frequency, idf = 1 + SPAN * ln((1 + N) / (1 + df)) / ln(1 + N). The span
+is small because copies make their own shingles frequent: an unbounded idf would weigh the few
+edited words of a copy far above all that it shares, and take large groups of copies apart.
 Document frequencies come from all texts, in a count sketch of fixed size whose mean noise is
 taken off, so common shingles are resolved to the same relative precision at any corpus size.
 
 Improved consistent weighted sampling draws ``BANDS * ROWS`` samples of each set; two sets agree
 on a sample with a chance equal to their weighted Jaccard similarity. Texts that agree on all rows
-of a band share a bucket. In each bucket one pivot is compared with all members, then, over
-components found so far, what is still unsettled: pairs of members in different components. Every
-link is verified by the exact weighted Jaccard similarity of the whole texts. Pairs within a
-component are never made, so a group of n copies costs n comparisons; at the end no pair of a
-common bucket in different classes is left uncompared. Classes are the connected components.
+of a band share a bucket. In each bucket one pivot is first compared with all members. Buckets
+whose members are then in more than one component are settled whole: their members meet in a task,
+large buckets as pairs of blocks of bounded size, where all pairs in different components are
+compared at once and only links that join components are handed on. Every link is verified by the
+exact weighted Jaccard similarity of the whole texts, and no pair of a common bucket in different
+classes is left uncompared, though pairs are never made as rows. Classes are the connected
+components.
 
 Equal texts are one node of the graph from the start. Nothing but the fixed-size sketch reaches
 the driver.
@@ -24,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loanweave.llm.common import arrow_schema, for_tasks, record_batch
@@ -34,9 +38,11 @@ from loanweave.storage import written
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 5  # a pair at similarity 0.8 shares a bucket with a chance of 0.998, at 0.9 1 - 3e-7
+SPAN = 0.25
 WIDTH, SEGMENT = 1 << 18, 1 << 13  # counters per sketch row, and counters per shuffled piece
 DRAW_ROWS = 1 << 15
-STAR_ROUNDS = 6
+MEMBERS = 1024  # in a block of a bucket that is settled; a task holds two
+COLUMNS = 2048  # elements compared at once
 TEXTS_PER_CALL = 256
 BLOCK = 2048  # shingles sampled at once, so that a very long text needs little memory
 
@@ -92,7 +98,8 @@ class Weights:
         noise = (counts.sum(1, keepdims=True) - counts) / (counts.shape[1] - 1)
         frequency = np.maximum(counts - noise, 1.0)
         scale = math.log(1 + max(documents, 1))
-        self.idf = (1 + (scale - np.log1p(np.minimum(frequency, max(documents, 1)))) / scale).astype(np.float32)
+        rarity = (scale - np.log1p(np.minimum(frequency, max(documents, 1)))) / scale
+        self.idf = (1 + SPAN * rarity).astype(np.float32)
 
     def of(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The less frequent of two counters is the less disturbed one."""
@@ -210,54 +217,144 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each connected component of the edges (a, b).
 
     Labels spread to neighbours and jump to their label's label until none changes; each step is
-    written to the shared folder.
+    one job, whose result is written to the shared folder.
     """
-    both = written(
-        edges.select(F.col("a").alias("node"), F.col("b").alias("other"))
-        .unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))),
-        "dedup-edges",
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
+        edges.select(F.col("b").alias("node"), F.col("a").alias("other"))
     )
-    labels = written(
-        both.groupBy("node").agg(F.min("other").alias("least"))
-        .select("node", F.least("node", "least").alias("label"), F.lit(True).alias("changed")),
-        "dedup-labels",
+    labels = both.groupBy("node").agg(F.min("other").alias("least")).select(
+        "node", F.least("node", "least").alias("label")
     )
-    while not labels.where("changed").isEmpty():
-        near = (
-            both.join(labels.select("node", "label"), "node")
-            .groupBy(F.col("other").alias("node")).agg(F.min("label").alias("least"))
+    changed = 1
+    while changed:
+        near = both.join(labels, "node").groupBy(F.col("other").alias("node")).agg(
+            F.min("label").alias("least")
         )
         lower = labels.join(near, "node").select(
             "node", F.col("label").alias("before"), F.least("label", "least").alias("label")
         )
-        lower = written(lower, "dedup-labels")
         jump = lower.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = written(
-            lower.join(jump, "label").select(
-                "node", F.col("further").alias("label"), (F.col("further") != F.col("before")).alias("changed")
-            ),
-            "dedup-labels",
+        step = lower.join(jump, "label").select(
+            "node", F.col("further").alias("label"), (F.col("further") != F.col("before")).alias("changed")
         )
-    return labels.select("node", "label")
-
-
-def _pivot_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """In each bucket, one member with all members of other components."""
-    order = F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "component")
-    pivots = members.groupBy("bucket").agg(F.min(order).alias("p"))
-    pairs = members.join(pivots, "bucket").where(F.col("component") != F.col("p.component"))
-    return _ordered(pairs.select(F.col("p.node").alias("x"), F.col("node").alias("y")))
-
+        seen = Observation()
+        labels = written(step.observe(seen, F.count_if("changed").alias("changed")), "dedup-labels")
+        labels, changed = labels.select("node", "label"), seen.get["changed"]
+    return labels
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after further links (a, b): components of components, which are few."""
+    at = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    to = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    between = written(
+        links.join(at, "a", "left").join(to, "b", "left").select(
+            F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")
+        ).where("a != b").distinct(),
+        "dedup-between",
+    )
+    if between.isEmpty():
+        return labels
+    merged = components(between)
+    known = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left")
+    known = known.select("node", F.coalesce("top", "label").alias("label"))
+    fresh = merged.join(labels.select("node"), "node", "left_anti")
+    return written(known.unionByName(fresh.select("node", "label")), "dedup-labels")
+
+
+def _pivot_pairs(members: DataFrame) -> DataFrame:
+    """In each bucket, its first member with all others; pairs (a, b) once."""
+    pivots = members.groupBy("bucket").agg(F.min("node").alias("a"))
+    pairs = members.withColumnRenamed("node", "b").join(pivots, "bucket").where("a != b")
+    return pairs.select("a", "b").distinct()
+
+
+def elements(weights: Weights, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A text's weighted set with its counts written out: the second occurrence of a shingle is an
+    element of its own. The common weight of two such sets is that of the elements in both."""
+    hashes, counts = np.unique(shingles, return_counts=True)
+    idf = weights.of(hashes, np.ones(len(hashes)))
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return mixed(np.repeat(hashes, counts) + nth.astype(np.uint64)), np.repeat(idf, counts)
+
+
+def linked(weights: Weights, texts: list[str], components_: list, least: float) -> list[tuple[int, int]]:
+    """Links between members in different components, as many as join them and no more."""
+    sets = [elements(weights, s) for s in shingles_of(texts, WORDS)]
+    n, totals = len(sets), np.array([w.sum() for _, w in sets])
+    owner = np.repeat(np.arange(n), [len(h) for h, _ in sets])
+    names, column, shared = np.unique(
+        np.concatenate([h for h, _ in sets]), return_inverse=True, return_counts=True
+    )
+    value = np.zeros(len(names))
+    value[column] = np.concatenate([w for _, w in sets])
+    number = np.cumsum(shared > 1) - 1
+    kept = shared[column] > 1
+    owner, column, value = owner[kept], number[column[kept]], value[shared > 1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((n, n))
+    for at in range(0, len(value), COLUMNS):
+        low, high = np.searchsorted(column, [at, at + COLUMNS])
+        part = np.zeros((n, min(COLUMNS, len(value) - at)))
+        part[owner[low:high], column[low:high] - at] = 1.0
+        common += part @ (part * value[at : at + COLUMNS]).T
+    alike = common >= least * (totals[:, None] + totals[None, :] - common)
+    top = list(range(n))
+
+    def find(i: int) -> int:
+        while top[i] != i:
+            top[i] = i = top[top[i]]
+        return i
+
+    first: dict[object, int] = {}
+    for i, component in enumerate(components_):
+        top[find(i)] = find(first.setdefault(component, i))
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(alike, 1))):
+        x, y = find(i), find(j)
+        if x != y:
+            top[x] = y
+            out.append((int(i), int(j)))
+    return out
+
+
+def _settled(unsettled: DataFrame, texts: DataFrame, shared, least: float) -> DataFrame:
+    """Links (a, b) that join components of a bucket: all its pairs in different components are
+    compared. A bucket of more than ``MEMBERS`` members is split into blocks by hash, and every
+    pair of blocks is compared by itself."""
+    schema = arrow_schema("a binary, b binary")
 
-def _open_pairs(members: DataFrame) -> DataFrame:
-    """All pairs of one bucket's members in different components."""
-    other = members.select("bucket", F.col("node").alias("y"), F.col("component").alias("c"))
-    pairs = members.withColumnRenamed("node", "x").join(other, "bucket")
-    return _ordered(pairs.where((F.col("x") < F.col("y")) & (F.col("component") != F.col("c"))).select("x", "y"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, rows = None, []
 
+        def found():
+            nodes, known, texts_ = zip(*rows)
+            pairs = linked(shared.value, list(texts_), list(known), least) if len(set(known)) > 1 else []
+            return record_batch([[nodes[i] for i, _ in pairs], [nodes[j] for _, j in pairs]], schema)
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        for batch in batches:
+            for bucket, x, y, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (bucket, x, y) != last:
+                    if rows:
+                        yield found()
+                    last, rows = (bucket, x, y), []
+                rows.append(row)
+        if rows:
+            yield found()
+
+    sizes = unsettled.groupBy("bucket").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda j: F.struct(F.least("own", j).alias("x"), F.greatest("own", j).alias("y")),
+    )
+    placed = unsettled.join(sizes, "bucket").withColumn("own", own).select(
+        "bucket", "node", "component", F.explode(pairs).alias("p")
+    )
+    rows = placed.join(texts, "node").select("bucket", "p.x", "p.y", "node", "component", "text")
+    ordered = rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "node")
+    return ordered.mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(
@@ -283,41 +380,22 @@ def near_duplicates(
     texts = documents.select(node_of(F.col("text")).alias("node"), "text").join(wanted, "node", "left_semi")
     texts = written(texts.groupBy("node").agg(F.first("text").alias("text")), "dedup-texts")
 
-    unsettled = members.withColumn("component", F.col("node"))
-    compared, labels, turn = None, None, 0
-    while not unsettled.isEmpty():
-        sizes = unsettled.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        per_bucket = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s"))
-        row = per_bucket.agg(
-            F.sum("n"), F.sum((F.col("n").cast("double") * F.col("n") - F.col("s")) / 2)
-        ).first()
-        last = turn >= STAR_ROUNDS or (turn > 0 and row[1] <= 4 * row[0])
-        pairs = _open_pairs(unsettled) if last else _pivot_pairs(unsettled, turn)
-        if compared is not None:
-            pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = written(_verified(pairs, texts, shared, least), "dedup-pairs")
-        compared = fresh if compared is None else compared.unionByName(fresh)
-        labels = components(compared.where("link").select("a", "b"))
-        if last:
-            break
-        turn += 1
-        known = members.join(labels, "node", "left").select(
-            "bucket", "node", F.coalesce("label", "node").alias("component")
-        )
-        split = known.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-        unsettled = written(
-            known.join(split.where("x != y").select("bucket"), "bucket", "left_semi"), "dedup-open"
-        )
+    pairs = written(_verified(_pivot_pairs(members), texts, shared, least), "dedup-pairs")
+    labels = components(pairs.where("link").select("a", "b"))
+    known = members.join(labels, "node", "left").select(
+        "bucket", "node", F.coalesce("label", "node").alias("component")
+    )
+    split = known.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    unsettled = known.join(split.where("x != y").select("bucket"), "bucket", "left_semi")
+    unsettled = written(unsettled, "dedup-open")
+    labels = _joined(labels, written(_settled(unsettled, texts, shared, least), "dedup-links"))
     return _classes(signed.select("doc_id", "node"), labels)
 
 
-def _classes(signed: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        known = signed.withColumn("component", F.col("node"))
-    else:
-        known = signed.join(labels, "node", "left").select(
-            "doc_id", "node", F.coalesce("label", "node").alias("component")
-        )
+def _classes(signed: DataFrame, labels: DataFrame) -> DataFrame:
+    known = signed.join(labels, "node", "left").select(
+        "doc_id", "node", F.coalesce("label", "node").alias("component")
+    )
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
     first = known.where("component is not null").groupBy("component").agg(F.min(order).alias("first"))
     joined = known.join(first, "component", "left")

@@ -29,7 +29,7 @@ def brute_classes(rows, least=nd.SIMILARITY):
     for s in sets:
         for k in s:
             df[k] = df.get(k, 0) + 1
-    idf = {k: 1 + math.log((1 + n) / (1 + v)) / math.log(1 + n) for k, v in df.items()}
+    idf = {k: 1 + nd.SPAN * math.log((1 + n) / (1 + v)) / math.log(1 + n) for k, v in df.items()}
     parent = list(range(len(rows)))
 
     def find(i):
@@ -82,20 +82,24 @@ def test_equals_brute_force_on_groups_chains_and_strangers(spark):
     assert sorted(r.doc_id for r in found if r.keep) == sorted({r.class_id for r in found})
 
 
-def test_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
+def test_large_bucket_is_settled_in_blocks(spark, monkeypatch):
+    """Blocks of few members give the classes of brute force, and rows stay few."""
+    monkeypatch.setattr(nd, "MEMBERS", 7)
     base = cases.prose(3, 250)
-    rows = [(i, edited(base, 1), "en", "a", None) for i in range(150)]
-    compared = []
-    whole = nd._verified
+    rows = [(i, edited(base, RANDOM.randint(0, 14)), "en", "a", None) for i in range(70)]
+    found = nd.near_duplicates(cases.documents(spark, rows)).collect()
+    truth = brute_classes(rows)
+    got = grouped((r.doc_id, r.class_id) for r in found)
+    assert got == grouped((r[0], t) for r, t in zip(rows, truth))
+    assert max(map(len, got)) > 20 and sum(r.keep for r in found) == len(got)
 
-    def counted(pairs, *rest):
-        compared.append(pairs.count())
-        return whole(pairs, *rest)
 
-    monkeypatch.setattr(nd, "_verified", counted)
-    found = nd.near_duplicates(cases.documents(spark, rows)).collect()
-    assert {r.class_id for r in found} == {0} and sum(r.keep for r in found) == 1
-    assert sum(compared) < 150 * 12
+def test_links_join_components_and_no_more(spark):
+    base = cases.prose(3, 250)
+    texts = [edited(base, 1) for _ in range(30)] + [cases.prose(50, 80)]
+    weights = nd.Weights(np.ones((2, nd.WIDTH)), 100)
+    assert len(nd.linked(weights, texts, list(range(31)), 0.8)) == 29
+    assert nd.linked(weights, texts, [0] * 31, 0.8) == []
 
 
 def test_samples_agree_as_often_as_weighted_sets_are_alike():
@@ -115,7 +119,7 @@ def test_frequencies_are_counted_over_all_texts(spark):
     common = nd.shingles_of(["one two three four five"])[0]
     rare = nd.shingles_of([cases.prose(7, 30)])[0]
     assert abs(weights.of(common, np.array([1]))[0] - 1.0) < 0.02
-    expected = 1 + math.log(201 / 2) / math.log(201)
+    expected = 1 + nd.SPAN * math.log(201 / 2) / math.log(201)
     assert np.median(np.abs(weights.of(rare, np.ones(len(rare))) - expected)) < 0.02
 
 
