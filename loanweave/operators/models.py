@@ -129,7 +129,7 @@ def _with_patience(
 ) -> PipelineModel:
     """Boosting stopped at the best validation loss that ``PATIENCE`` further rounds do not better.
 
-    Trees do not depend on how many follow, so the number of rounds is doubled until the patience
+    Trees do not depend on how many follow, so the number of rounds is raised until the patience
     runs out or ``max_iter`` is reached, and the model is then fitted to the best count.
     """
     prepared = Pipeline(stages=stages).fit(rows)
@@ -141,7 +141,7 @@ def _with_patience(
         best = min(range(len(curve)), key=curve.__getitem__) + 1
         if best + PATIENCE <= rounds or rounds == max_iter:
             break
-        rounds = min(max_iter, 2 * rounds)
+        rounds = min(max_iter, 5 * rounds)
     if best < rounds:
         model = booster.setMaxIter(best).fit(train)
     return PipelineModel(stages=[*prepared.stages, model])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loanweave.functions.columns import ratio
 from loanweave.operators.ordered import running_sums
+from loanweave.storage import written
 
 # --- predicates --------------------------------------------------------------------------
 
@@ -254,7 +255,7 @@ def reconcile_counts(origination: DataFrame, panel: DataFrame) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     return _check(
         counts, "origination_vs_panel_unique_loans", a, b, a - b, b, lambda off: off < 1.0,
-        "Loans in origination with no performance data are excluded from panel",
+        "Loans without monthly rows do not reach the panel",
     )
 
 
@@ -268,7 +269,7 @@ def reconcile_orphans(performance: DataFrame, origination: DataFrame) -> DataFra
     a, b = F.col("a"), F.col("b")
     return _check(
         counts, "performance_orphan_loan_ids", a, b, b, a - b, lambda off: b == 0,
-        "Performance records with no origination match",
+        "Monthly rows whose loan is not on file",
     )
 
 
@@ -285,14 +286,14 @@ def reconcile_upb(performance: DataFrame, panel: DataFrame) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     return _check(
         whole, "performance_vs_panel_total_upb", a, b, F.col("d"), b, lambda off: off < 0.1,
-        "Total current UPB should match between performance and panel",
+        "The panel carries the whole balance of the monthly rows",
     )
 
 
 def reconcile_all(
     origination: DataFrame, performance: DataFrame, panel: DataFrame
 ) -> DataFrame:
-    """All reconciliation checks as one table; a check that cannot be planned is a FAIL row."""
+    """All reconciliation checks as one table; a check that fails to plan or run is a FAIL row."""
     checks = {
         "origination_vs_panel_unique_loans": lambda: reconcile_counts(origination, panel),
         "performance_orphan_loan_ids": lambda: reconcile_orphans(performance, origination),
@@ -302,8 +303,8 @@ def reconcile_all(
     rows = []
     for name, build in checks.items():
         try:
-            rows.append(build())
-        except Exception as error:  # noqa: BLE001 - any planning error becomes a FAIL row
+            rows.append(written(build(), "reconciliation"))  # one row, evaluated here
+        except Exception as error:  # noqa: BLE001 - any error becomes a FAIL row
             rows.append(
                 spark.range(1).select(
                     F.lit(name).alias("check_name"),

@@ -114,7 +114,14 @@ DATES = f"""
     WHERE origination_year BETWEEN {VINTAGES[0]} AND {VINTAGES[1]}),
   third AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS j FROM (
     SELECT m, row_number() OVER (ORDER BY m) - 1 AS i FROM months) WHERE i % 3 = 0),
-  picked AS (SELECT m AS scoring_date FROM third WHERE (SELECT count(*) FROM third) <= 12 OR j IN (
+  picked AS (SELECT m AS scoring_date FROM third)
+"""
+
+
+# Thinned evenly to at most twelve.
+THINNED = f"""
+{DATES},
+  thinned AS (SELECT m AS scoring_date FROM third WHERE (SELECT count(*) FROM third) <= 12 OR j IN (
     SELECT CAST(round_even(k * ((SELECT count(*) FROM third) - 1) / 11e0, 0) AS BIGINT)
     FROM (SELECT unnest(range(12)) AS k)))
 """
@@ -162,6 +169,14 @@ def register(catalog: Catalog) -> None:
         "SELECT * FROM picked",
         ctes=DATES,
     )
+    add(
+        "scoring_dates_thinned",
+        lambda c: X.scoring_dates(
+            c.panel.where(F.col("origination_year").between(*VINTAGES)), max_dates=12
+        ),
+        "SELECT * FROM thinned",
+        ctes=THINNED,
+    )
     add(
         "training_dataset",
         lambda c: X.training_dataset(c.panel, *VINTAGES, history=c.history).select(*OUT),
@@ -212,15 +227,15 @@ def register(catalog: Catalog) -> None:
         f"""SELECT unnest([
               {{'check_name': 'forbidden_feature_name_scan', 'severity': 'FAIL',
                 'status': 'PASS', 'metric': 0e0,
-                'detail': 'No forbidden feature tokens in model feature list.'}},
+                'detail': 'No feature name holds a token of later knowledge.'}},
               {{'check_name': 'terminal_scoring_rows_excluded', 'severity': 'FAIL',
                 'status': if(bad = 0, 'PASS', 'FAIL'), 'metric': CAST(bad AS DOUBLE),
-                'detail': 'Scoring rows must be active at the as-of date.'}},
+                'detail': 'Only loans alive at the scoring date are scored.'}},
               {{'check_name': 'forward_target_population', 'severity': 'WARN',
                 'status': 'PASS', 'metric': CAST(n AS DOUBLE),
-                'detail': 'Snapshot labels include ' || format('{{:,}}', ce)
-                  || ' credit events and ' || format('{{:,}}', pp)
-                  || ' voluntary prepayments in their forward 12-month windows.'}},
+                'detail': 'Within twelve months of scoring: ' || format('{{:,}}', ce)
+                  || ' credit events, ' || format('{{:,}}', pp)
+                  || ' voluntary prepayments.'}},
               {{'check_name': 'temporal_split_design', 'severity': 'FAIL', 'status': 'PASS',
                 'metric': 0e0, 'detail': '{note}'}}], recursive := true)
             FROM (SELECT count(*) AS n, count(*) FILTER (WHERE is_terminal) AS bad,

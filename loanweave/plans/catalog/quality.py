@@ -109,13 +109,13 @@ RECON = {
         "SELECT (SELECT count(DISTINCT loan_id) FROM half) AS a, "
         "(SELECT count(DISTINCT loan_id) FROM hpanel) AS b",
         "b", "a - b", "b", "100e0 * abs(a - b) / a < 1",
-        "Loans in origination with no performance data are excluded from panel",
+        "Loans without monthly rows do not reach the panel",
     ),
     "recon_orphans": _recon(
         "performance_orphan_loan_ids",
         "SELECT (SELECT count(DISTINCT loan_id) FROM sp) AS a, (SELECT count(DISTINCT loan_id) "
         "FROM sp WHERE loan_id NOT IN (SELECT loan_id FROM half)) AS b",
-        "b", "b", "(a - b)", "b = 0", "Performance records with no origination match",
+        "b", "b", "(a - b)", "b = 0", "Monthly rows whose loan is not on file",
     ),
     "recon_upb": _recon(
         "performance_vs_panel_total_upb",
@@ -123,7 +123,7 @@ RECON = {
         "FROM (SELECT (SELECT sum(current_upb) FROM sp) AS x, "
         "(SELECT sum(current_upb) FROM hpanel) AS y)",
         "b", "d", "b", "100e0 * abs(a - b) / a < 0.1",
-        "Total current UPB should match between performance and panel",
+        "The panel carries the whole balance of the monthly rows",
     ),
 }
 
