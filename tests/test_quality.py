@@ -110,6 +110,10 @@ def test_reconciliation(spark):
     assert rows["performance_vs_panel_total_upb"]["difference"] == 50
     broken = {r["check_name"]: r for r in Q.reconcile_all(orig, perf.drop("current_upb"), panel).collect()}
     assert broken["performance_vs_panel_total_upb"]["status"] == "FAIL"
+    late = perf.withColumn("current_upb", F.raise_error(F.lit("unreadable")).cast("double"))
+    failing = {r["check_name"]: r for r in Q.reconcile_all(orig, late, panel).collect()}
+    assert failing["performance_vs_panel_total_upb"]["status"] == "FAIL"
+    assert failing["performance_orphan_loan_ids"]["status"] != "FAIL" and len(failing) == 3
 
 
 def test_persist_appends(spark):
