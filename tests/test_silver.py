@@ -81,7 +81,7 @@ def _origination(spark):
 
 def test_store_panel_buckets_bounded_histories(spark):
     stored = S.store_panel(_performance(spark, 300), _origination(spark), "bounded_panel")
-    assert (stored.rows, stored.history) == (302, 300) and stored.buckets
+    assert (stored.rows, stored.history) == (301, 300) and stored.buckets
     assert stored.table.count() == 301  # the orphan month is dropped
     plan = P.transition_matrix(stored.table, stored.history)._jdf.queryExecution().toString()
     scan = plan[plan.index("Physical Plan"):]
@@ -103,6 +103,19 @@ def test_store_panel_keeps_a_hot_loan_out_of_buckets(spark, monkeypatch):
         expected.sort_values(key).reset_index(drop=True))
 
 
+def test_ids_that_never_reach_the_panel_do_not_shape_it(spark, monkeypatch):
+    """Half of the rows under no id or one that is not on file: still bucketed, not counted."""
+    monkeypatch.setattr(S, "MAX_HISTORY", 310)
+    good = _performance(spark, 300)
+    for junk in (None, "junk"):
+        rows = good.unionByName(
+            good.crossJoin(spark.range(2)).drop("id").withColumn("loan_id", F.lit(junk).cast("string"))
+        )
+        stored = S.store_panel(rows, _origination(spark), f"junk_panel_{junk or 'null'}".lower())
+        assert (stored.rows, stored.history) == (301, 300) and stored.buckets
+        assert stored.table.count() == 301
+
+
 @pytest.mark.parametrize("column", ["loan_id", "reporting_period"])
 def test_panel_has_keys(small_panel, column):
     assert small_panel.where(F.col(column).isNull()).count() == 0
