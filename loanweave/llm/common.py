@@ -7,12 +7,18 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+ROWS_PER_BATCH = 512  # whole texts are long rows: batches of the default size could be gigabytes
+BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def for_tasks(df: DataFrame) -> DataFrame:
     """``df``, whose session's Python workers can now import this package even if it is not
-    installed but only on the driver's path (a checkout on a folder that all machines see)."""
+    installed but only on the driver's path (a checkout on a folder that all machines see), and
+    get at most ``ROWS_PER_BATCH`` rows at once."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCHES)) <= ROWS_PER_BATCH:
+        conf.set(BATCHES, str(ROWS_PER_BATCH))
     environment = df.sparkSession.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(":") if p]
     if ROOT not in paths:

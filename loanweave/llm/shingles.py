@@ -12,7 +12,7 @@ import numpy as np
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-LONGEST_JOIN = 1 << 21  # bytes hashed at once; a longer text is hashed alone
+LONGEST_JOIN = 1 << 19  # bytes hashed at once; a longer text is hashed alone
 
 _WORD = np.zeros(256, bool)
 _WORD[[*b"abcdefghijklmnopqrstuvwxyz0123456789"]] = True
