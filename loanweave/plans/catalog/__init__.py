@@ -11,6 +11,7 @@ from loanweave.plans.catalog import (
     pool,
     quality,
     silver,
+    sinks,
     sources,
 )
 from loanweave.plans.catalog.base import Catalog
@@ -19,7 +20,7 @@ from loanweave.plans.catalog.base import Catalog
 def load() -> Catalog:
     catalog = Catalog()
     for area in (
-        sources, silver, gold, collateral, performance, quality, features, models, pool,
+        sources, silver, gold, collateral, performance, quality, features, models, pool, sinks,
     ):
         area.register(catalog)
     return catalog
