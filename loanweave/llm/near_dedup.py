@@ -1,9 +1,9 @@
 """Near duplicates: improved consistent weighted sampling over TF-IDF shingles.
 
 A text is the weighted set of its five-word shingles: weight = count in the text times a smoothed,
-bounded inverse document frequency, idf = 1 + SPAN * ln((1 + N) / (1 + df)) / ln(1 + N). The span
-is small because copies make their own shingles frequent: an unbounded idf would weigh the few
-edited words of a copy far above all that it shares, and take large groups of copies apart.
+bounded inverse document frequency, idf = 1 + SPAN * ln((1 + N) / (1 + df)) / ln(1 + N), between 1
+and 2. It is bounded because copies make their own shingles frequent: an unbounded idf would weigh
+the few edited words of a copy far above all that it shares.
 Document frequencies come from all texts, in a count sketch of fixed size whose mean noise is
 taken off, so common shingles are resolved to the same relative precision at any corpus size.
 
@@ -38,7 +38,7 @@ from loanweave.storage import written
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 5  # a pair at similarity 0.8 shares a bucket with a chance of 0.998, at 0.9 1 - 3e-7
-SPAN = 0.25
+SPAN = 1.0
 WIDTH, SEGMENT = 1 << 18, 1 << 13  # counters per sketch row, and counters per shuffled piece
 DRAW_ROWS = 1 << 15
 MEMBERS = 1024  # in a block of a bucket that is settled; a task holds two

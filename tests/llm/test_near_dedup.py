@@ -142,3 +142,27 @@ def test_repeated_rows_of_a_kept_text_leave_one(spark):
     rows = [(4, "same text here", "en", "a", None)] * 3 + [(9, "same text here", "en", "a", None)]
     kept = nd.deduplicated(cases.documents(spark, rows)).collect()
     assert [r.doc_id for r in kept] == [4]
+
+
+def test_idf_lies_between_one_and_two():
+    """Of 9,999,999 texts: 1 + ln(1e7 / 1e4) / ln(1e7) in 9,999 of them, 2 - ln(2) / ln(1e7) in one."""
+    counts = np.zeros((2, nd.WIDTH))
+    counts[:, 5] = 9999
+    idf = nd.Weights(counts, 9_999_999).idf
+    assert np.allclose(idf[:, 5], 1.428571, atol=1e-5) and np.allclose(idf[:, 6], 1.956995, atol=1e-5)
+
+
+def test_a_frequent_passage_makes_no_classes_and_a_large_group_of_copies_one(spark):
+    """100 clean documents share 230 words and have 20 of their own. Of 460 texts a passage in 100
+    weighs 1.248, an own shingle 1.887: similarity 226 * 1.248 / (226 * 1.248 + 48 * 1.887) = 0.757
+    (plain 0.825). The 60 copies differ in one word each: above 0.92."""
+    passage, base = cases.prose(1000, 230), cases.prose(2000, 250)
+    rows = [(i, passage + " " + " ".join(f"own{i}x{j}" for j in range(20)), "en", "a", None) for i in range(100)]
+    for i in range(60):
+        words = base.split()
+        words[20 + 3 * i] = f"changed{i}"
+        rows.append((100 + i, " ".join(words), "en", "a", None))
+    rows += [(160 + i, " ".join(f"far{i}x{j}" for j in range(30)), "en", "b", None) for i in range(300)]
+    found = {r.doc_id: r.class_id for r in nd.near_duplicates(cases.documents(spark, rows)).collect()}
+    assert all(found[i] == i for i in [*range(100), *range(160, 460)])
+    assert {found[i] for i in range(100, 160)} == {100}
