@@ -8,13 +8,25 @@ from dataclasses import dataclass, field
 
 # Element names of the HTML standard, by role.
 HIDDEN = frozenset(
-    "script style head noscript template svg iframe math object canvas audio video map".split()
+    "script style head noscript template svg iframe object canvas audio video map annotation"
+    " annotation-xml".split()
 )
-RAW = frozenset("script style noscript template svg iframe title textarea math object".split())
+RAW = frozenset("script style noscript iframe title textarea".split())  # end at their end tag only
+PAIRED = HIDDEN - RAW - {"head"}  # may hold elements, also of their own kind
+SKIPPED_UNCLOSED = frozenset("template svg object annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rt rp s samp"
-    " small span strike strong sub sup time tt u var wbr img picture".split()
+    " small span strike strong sub sup time tt u var wbr img picture"
+    " math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom"
+    " mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover none"
+    " semantics".split()
+)
+CELLS = frozenset("mtable mtr mlabeledtr mtd".split())  # inline, but apart from what is around
+BLOCK = frozenset(
+    "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption"
+    " figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary"
+    " table tbody td tfoot th thead tr ul".split()
 )
 # An element on the left is ended by the start of one on the right.
 ENDED_BY = {
@@ -49,8 +61,9 @@ class Page:
 
 def parse(source: str) -> Page:
     """The page's block elements; inline elements add their texts to the block they stand in.
-    Scripts, styles, comments and what else is never shown give neither. Broken markup is read as
-    far as it goes: unclosed elements end with their parent, stray end tags are skipped."""
+    Scripts, styles, comments and what else is never shown give neither; formulas give their
+    text, without annotations. Broken markup is read as far as it goes: unclosed elements end with
+    their parent, unclosed hidden ones where a block starts or ends, stray end tags are skipped."""
     page = Page()
     tags, parents, texts = page.tags, page.parents, page.texts
     tags.append("#page")
@@ -59,6 +72,7 @@ def parse(source: str) -> Page:
     page.gold.append("")
     stack: list[int] = [0]
     links, at, end = 0, 0, len(source)
+    hidden: dict[int, int] | None = None
     find = _TOKEN.search
     while at < end:
         token = find(source, at)
@@ -77,6 +91,9 @@ def parse(source: str) -> Page:
             links = 0 if closing else 1
         if tag in INLINE:
             continue
+        if tag in CELLS:
+            texts.append((-1, "", False))
+            continue
         if tag in VOID:
             if tag == "br" or tag == "hr":
                 texts.append((-1, "", False))
@@ -88,17 +105,19 @@ def parse(source: str) -> Page:
                     break
             texts.append((-1, "", False))
             continue
-        if tag in RAW or tag in HIDDEN:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-            if tag in RAW or tag == "head":
+        if tag in PAIRED:
+            if hidden is None or at not in hidden:
+                hidden = _hidden_ends(source, token.start())
+            at = hidden[at]
+            continue
+        if tag in RAW or tag == "head":
+            close = _closing(tag).search(source, at)
+            if close is None and tag == "head":
                 # A head that is never closed ends where the body starts.
-                if close is None and tag == "head":
-                    body = re.compile(r"<body", re.I).search(source, at)
-                    at = body.start() if body else end
-                else:
-                    at = close.end() if close else end
-            elif close:
-                at = close.end()
+                body = re.compile(r"<body", re.I).search(source, at)
+                at = body.start() if body else end
+            else:
+                at = close.end() if close else end
             continue
         links = 0
         _end_implied(stack, tags, tag)
@@ -121,6 +140,64 @@ def parse(source: str) -> Page:
     return page
 
 
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
+
+
+def _hidden_ends(source: str, at: int) -> dict[int, int]:
+    """By the end of each start tag of ``PAIRED`` elements from ``at`` on: where the element ends.
+
+    End tags close the last open element of their name. An svg also ends where a block starts or
+    ends outside its foreign objects. ``SKIPPED_UNCLOSED`` elements without an end tag end at the
+    next block's start or end, others with their start tag, as do those that close themselves."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {tag: [] for tag in PAIRED}
+    blocks: dict[int, int] = {}  # where the next block starts or ends
+    waiting: list[int] = []  # start tags before which no block has come since
+    closed_by_slash: set[int] = set()
+    foreign, end = 0, len(source)
+    while token := _TOKEN.search(source, at):
+        at = token.end()
+        if token.group(2) is None:
+            continue
+        tag, closing = token.group(2).lower(), token.group(1)
+        slash = token.group(3).endswith("/")
+        if tag in BLOCK:
+            for start in waiting:
+                blocks[start] = token.start()
+            waiting.clear()
+            if not foreign:
+                for start in opened["svg"]:
+                    ends[start] = token.start()
+                opened["svg"].clear()
+        elif tag == "foreignobject":
+            if closing:
+                foreign = max(0, foreign - 1)
+            elif opened["svg"] and not slash:
+                foreign += 1
+        elif tag in PAIRED:
+            if closing:
+                if opened[tag]:
+                    ends[opened[tag].pop()] = at
+            elif tag == "svg" and slash:
+                ends[at] = at
+            else:
+                opened[tag].append(at)
+                waiting.append(at)
+                if slash:
+                    closed_by_slash.add(at)
+            if not opened["svg"]:
+                foreign = 0
+        elif tag in RAW and not closing and not (opened["svg"] and (slash or tag == "title")):
+            close = _closing(tag).search(source, at)
+            at = close.end() if close else end
+    for tag, starts in opened.items():
+        for start in starts:
+            skipped = tag in SKIPPED_UNCLOSED and start not in closed_by_slash
+            ends[start] = blocks.get(start, end) if skipped else start
+    return ends
+
+
 def _end_implied(stack: list[int], tags: list[str], tag: str) -> None:
     """End what the start of a block ends: an open paragraph, and list or table parts of its kind."""
     for depth in range(len(stack) - 1, 0, -1):

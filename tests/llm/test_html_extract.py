@@ -100,3 +100,41 @@ def test_odd_rows(spark, forest):
     by_id = {r.page_id: r for r in found}
     assert by_id[1].text == by_id[2].text == "" and by_id[7].n_chars == 200_000 * 5 - 1
     assert hx.extract(frame.limit(0), forest).collect() == []
+
+
+def shown(source):
+    return " ".join("".join([" " if e < 0 else t for e, t, _ in parse(source).texts]).split())
+
+
+@pytest.mark.parametrize("source, expected", [
+    ('<p>One <svg class="i"/> two.</p><p>Three</p>', "One two. Three"),
+    ("<p>One <svg width='1' /> two.<p>Three</p><svg><text>no</text></svg> four", "One two. Three four"),
+    ("<p>One<math/> two.</p><p>Three</p>", "One two. Three"),
+    ("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p>", "So x=2 holds."),
+    ("<p>So <math><mi>x</mi> holds.<p>Two</p>", "So x holds. Two"),
+    ("<p>One <svg><path d=M0><title>no<p>Two</p><p>Three</p><svg><g/></svg> four", "One Two Three four"),
+    ("<p>One <svg><path d=M0></p><div>Two</div>", "One Two"),
+    ("<div><object data=x>no<p>One</p></div><p>Two</p><object><p>no</p></object>three", "One Two three"),
+    ("<p>One<object data=x/> two</p>", "One two"),
+    ("<object><object>no</object>no</object><p>One</p>", "One"),
+    ("<p>One<template>no<p>Two</p><p>Three", "One Two Three"),
+    ("<svg><foreignObject><div>no</div></foreignObject><text>no</text></svg><p>One", "One"),
+    ("<object></object><head><!-- </head><svg> --><p>One</p>", "One"),
+    ("<p>One</p><script>no <p>no</p>", "One"),
+])
+def test_markup_of_hidden_elements_takes_no_text_along(source, expected):
+    assert shown(source) == expected
+
+
+def test_articles_with_icons_formulas_and_objects_are_whole(forest):
+    source = """<html><head><title>t</title></head><body><nav><ul><li><a href=/>Home</a><li><a href=/a>All</a></ul></nav>
+    <article><h1>A title<svg class="icon"/></h1><p>First words, and a sentence of some length.</p>
+    <p>Where <math><mi>e</mi><mo>=</mo><mn>1</mn></math> holds, the second paragraph goes on, at length.</p>
+    <object data="film"><p>Third paragraph, after an object that never ends, for good measure.</p>
+    <svg viewBox="0 0 1 1"><path d="M0 0"><p>Fourth paragraph, after a drawing that never ends.</p></article>
+    <footer>&copy; someone</footer></body></html>"""
+    assert text_of(forest, source) == (
+        "A title First words, and a sentence of some length. Where e=1 holds, the second paragraph goes on, at"
+        " length. Third paragraph, after an object that never ends, for good measure. Fourth paragraph, after a"
+        " drawing that never ends."
+    )
