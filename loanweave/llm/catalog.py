@@ -75,7 +75,8 @@ def op7_event_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality of all documents from their own evidence and their sites'."""
+    """Quality of all documents from their own evidence and their sites'. The table has no url, so
+    source and lang stand in for host and path; lang is no section of a host."""
     scored = quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return scored.select(
         "doc_id", "source", "lang", "evidence", "host_posterior", "path_posterior", "score", "keep"
