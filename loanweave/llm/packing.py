@@ -6,7 +6,8 @@ Tiers are packed from the longest down: a window opens with the longest rest of
 is filled with the longest rests of shorter tiers that fit, and what is then still open by cutting
 from the shortest rest left. So every window is exactly full; only what is left at the end of a
 partition is cut into windows of smaller powers of two. Windows of one tier are dealt to step
-groups of equal token counts.
+groups of equal token counts, but for the last group of each tier in each partition; groups are not
+balanced over tiers or partitions, and tiers share their numbers.
 
 Packing is local to a partition: no shuffle, memory bounded by ``BUFFER_TOKENS`` and the longest
 document, and a lost task is packed again from its own input. Feed it stored rows (a file scan),
