@@ -79,7 +79,10 @@ def write(documents: DataFrame, folder: str, vocabulary: str | None = None, end_
         pa.table({"rank": np.arange(len(by_rank)), "id": by_rank}).to_pandas(), "rank long, id long"
     )
     ranks.coalesce(1).write.parquet(f"{folder}/ranks")
-    ids.mapInArrow(_ranker(by_rank, before), _FILES).write.parquet(f"{folder}/documents")
+    coded = ids.mapInArrow(_ranker(by_rank, before), f"part int, {_FILES}")
+    # A scan deals files by size: the coded rows go back to the ranges they came from, in order.
+    placed = coded.repartitionById(max(before, default=0) + 1, F.col("part")).sortWithinPartitions("start")
+    placed.drop("part").write.parquet(f"{folder}/documents")
 
 
 _STORED = "doc_id long, part int, start long, part_end long, ids binary"
@@ -139,9 +142,10 @@ def _ranker(by_rank: np.ndarray, before: dict[int, int]):
             base = [before[p] for p in batch.column("part").to_pylist()]
             start = np.asarray(base, np.int64) + batch.column("start").to_numpy()
             yield _batch(
-                [batch.column("doc_id"), start, [len(x) for x in ids], [c for c, _ in coded],
-                 [d for _, d in coded]],
-                [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()], _FILES,
+                [batch.column("part"), batch.column("doc_id"), start, [len(x) for x in ids],
+                 [c for c, _ in coded], [d for _, d in coded]],
+                [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()],
+                f"part int, {_FILES}",
             )
 
     return run

@@ -1,11 +1,14 @@
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loanweave.llm import id_codec
 from loanweave.llm.tokens import Encoder, vocabulary_path
+from loanweave import storage
 from loanweave.storage import fresh_path
 from tests.llm import cases
 
@@ -43,3 +46,16 @@ def test_files_hold_all_ids_in_order(spark):
 
 def test_empty_table(spark):
     assert id_codec.round_trip(cases.empty(spark)).collect() == []
+
+
+def test_files_in_name_order_have_ascending_ids(spark):
+    """Ranges of very different sizes, which a scan would deal by size."""
+    rows = [(i, cases.prose(i, 4 + 3000 * (i % 40 == 39)), "en", "a", None) for i in range(200)]
+    folder = fresh_path(spark, "codec-order")
+    with storage.settings(spark, {"spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        id_codec.write(cases.documents(spark, rows), folder)
+    files = sorted(Path(f"{folder}/documents".removeprefix("file:")).glob("part-*.parquet"))
+    tables = [pq.read_table(f, columns=["doc_id", "start", "n_tokens"]).to_pylist() for f in files]
+    found = [r for t in tables for r in t]
+    assert [r["doc_id"] for r in found] == list(range(200)) and sum(map(bool, tables)) > 1
+    assert [r["start"] for r in found] == list(np.cumsum([0] + [r["n_tokens"] for r in found])[:-1])
