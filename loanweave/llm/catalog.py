@@ -17,8 +17,12 @@ from loanweave.llm import (
     mixing,
     near_dedup,
     packing,
+    prefix_counts,
     quality,
 )
+from loanweave.storage import written
+
+TOKEN_LIMIT = 512
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,10 +99,20 @@ def op10_weighted_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, and how many characters fit the limit, from stored prefixes."""
+    stored = written(prefix_counts.prefix_table(_table(spark, sf_dir, "documents")), "prefixes")
+    return prefix_counts.answers(stored, [TOKEN_LIMIT]).select(
+        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"),
+        F.col("fits")[0].alias("chars_within_limit"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_dom_trees, op2_poisson_mix, op3_block_max_bm25, op4_hilbert_curves, op5_ranked_ids,
         op6_hash_tree, op7_event_chat, op8_site_quality, op9_tiered_packing, op10_weighted_dedup,
+        op11_prefix_counts,
     )
     return {f.__name__: f for f in named}
 
