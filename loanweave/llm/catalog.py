@@ -19,6 +19,7 @@ from loanweave.llm import (
     packing,
     prefix_counts,
     quality,
+    token_alignment,
 )
 from loanweave.storage import written
 
@@ -108,11 +109,16 @@ def op11_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers over all documents."""
+    return token_alignment.alignment(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_dom_trees, op2_poisson_mix, op3_block_max_bm25, op4_hilbert_curves, op5_ranked_ids,
         op6_hash_tree, op7_event_chat, op8_site_quality, op9_tiered_packing, op10_weighted_dedup,
-        op11_prefix_counts,
+        op11_prefix_counts, op13_token_alignment,
     )
     return {f.__name__: f for f in named}
 
