@@ -20,6 +20,7 @@ from loanweave.llm import (
     prefix_counts,
     quality,
     token_alignment,
+    turn_repair,
 )
 from loanweave.storage import written
 
@@ -109,6 +110,11 @@ def op11_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by rule and repaired at least cost."""
+    return turn_repair.repair(_table(spark, sf_dir, "conversations"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of two tokenizers over all documents."""
     return token_alignment.alignment(_table(spark, sf_dir, "documents"))
@@ -118,7 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_dom_trees, op2_poisson_mix, op3_block_max_bm25, op4_hilbert_curves, op5_ranked_ids,
         op6_hash_tree, op7_event_chat, op8_site_quality, op9_tiered_packing, op10_weighted_dedup,
-        op11_prefix_counts, op13_token_alignment,
+        op11_prefix_counts, op12_turn_repair, op13_token_alignment,
     )
     return {f.__name__: f for f in named}
 

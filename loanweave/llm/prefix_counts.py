@@ -188,7 +188,7 @@ class PrefixCounter:
             self.pool.extend(self._word(core if first else " " + core))
             if len(core) < len(body):
                 self.pool.append(1)
-        elif part == "\n" or body and not body[0].isspace() and not body[-1].isspace() and "\0" not in body:
+        elif part == "\n" or body and not body[0].isspace() and not body[-1].isspace():
             steps = self._plain(part if part == "\n" else body if first else " " + body)
             self.pool.frombytes(steps.astype(np.int16).tobytes())  # at most LONG_WORD characters
         else:
@@ -199,6 +199,8 @@ class PrefixCounter:
 
     def _piece(self, text: str) -> np.ndarray:
         """Steps of a text that holds no special string, from its cuts where these are safe."""
+        if "\0" in text:  # it marks cuts without a space
+            return self._plain(text)
         spaced = text[:1] == " "
         parts = text.replace("\n", " \n \0").split(" ")
         if spaced:

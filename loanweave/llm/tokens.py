@@ -59,7 +59,8 @@ class Encoder:
             if not text:
                 counts.append(0)
                 continue
-            parts = ("\0" + text.replace("\n", " \n \0")).split(" ")
+            # The zero character marks cuts without a space, so a text that holds it is taken whole.
+            parts = ("\0" + text.replace("\n", " \n \0")).split(" ") if "\0" not in text else [" "]
             counts.append(len(parts))
             flat.append(np.fromiter(map(number, parts), np.int64, len(parts)))
         counts = np.asarray(counts, np.int64)

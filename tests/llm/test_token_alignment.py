@@ -1,7 +1,6 @@
 import hashlib
 from collections import Counter
 
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

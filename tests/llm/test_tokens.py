@@ -6,7 +6,7 @@ from loanweave.llm.tokens import Encoder, vocabulary_path
 
 ENCODER = Encoder(vocabulary_path())
 ODD = ["", " ", "a  b", " a", "a ", "a\n\nb", "a \n b", "it's, ok.", "x.,", "\0a b", "a\0 b", "1. 2, 3",
-       "日本 語。", "a\x1cb", "don't. we'", "<|endoftext|> x", "a b", "é. ü,"]
+       "a \0b c", "日本 語。", "a\x1cb", "don't. we'", "<|endoftext|> x", "a b", "é. ü,"]
 
 
 def same(texts):
