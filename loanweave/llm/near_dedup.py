@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanweave.llm.common import arrow_schema, for_tasks, record_batch
@@ -183,6 +183,7 @@ def _signatures(documents: DataFrame, shared, bands: int, rows: int) -> DataFram
                         key = mixed(key * np.uint64(31) + drawn[:, j])
                     keys.append(key.view(np.int64))
                 yield record_batch([part.column(0), part.column(1), keys], schema)
+        _cache.clear()  # an idle worker keeps no tables
 
     whole = for_tasks(documents).select(
         F.col("doc_id").cast("long").alias("doc_id"), node_of(F.col("text")).alias("node"), "text"
@@ -225,7 +226,7 @@ def components(edges: DataFrame) -> DataFrame:
     labels = both.groupBy("node").agg(F.min("other").alias("least")).select(
         "node", F.least("node", "least").alias("label")
     )
-    changed = 1
+    changed = True
     while changed:
         near = both.join(labels, "node").groupBy(F.col("other").alias("node")).agg(
             F.min("label").alias("least")
@@ -237,9 +238,8 @@ def components(edges: DataFrame) -> DataFrame:
         step = lower.join(jump, "label").select(
             "node", F.col("further").alias("label"), (F.col("further") != F.col("before")).alias("changed")
         )
-        seen = Observation()
-        labels = written(step.observe(seen, F.count_if("changed").alias("changed")), "dedup-labels")
-        labels, changed = labels.select("node", "label"), seen.get["changed"]
+        stored = written(step, "dedup-labels")
+        labels, changed = stored.select("node", "label"), not stored.where("changed").isEmpty()
     return labels
 
 
@@ -389,6 +389,7 @@ def near_duplicates(
     unsettled = known.join(split.where("x != y").select("bucket"), "bucket", "left_semi")
     unsettled = written(unsettled, "dedup-open")
     labels = _joined(labels, written(_settled(unsettled, texts, shared, least), "dedup-links"))
+    shared.destroy()  # all that needs the weights is stored
     return _classes(signed.select("doc_id", "node"), labels)
 
 
