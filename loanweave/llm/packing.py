@@ -189,6 +189,7 @@ def pack(
                     yield from packer.rows(arrow)
         packer.pack(last=True)
         yield from packer.rows(arrow)
+        encoder.cache_clear()  # an idle worker keeps no words
 
     rows = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     return for_tasks(rows).mapInArrow(run, PIECES + (", ids array<long>" if with_ids else ""))
