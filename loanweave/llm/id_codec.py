@@ -59,15 +59,15 @@ def write(documents: DataFrame, folder: str, vocabulary: str | None = None, end_
     doc_id and text are read.
     """
     path, spark = vocabulary or vocabulary_path(), documents.sparkSession
-    stored = f"{folder}-ids"
+    stored, kind = f"{folder}-ids", _id_type(path, end_id)
     rows = for_tasks(documents).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     ).withColumn("tie", F.xxhash64("text"))
     # The order of the files: by range of doc_id, equal ids split by the hash of the text.
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    ordered.drop("tie").mapInArrow(_tokenizer(path, end_id), _STORED).write.parquet(stored)
+    ordered.drop("tie").mapInArrow(_tokenizer(path, end_id, kind), _STORED).write.parquet(stored)
     ids = spark.read.schema(_STORED).parquet(stored)
-    counts = ids.mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = ids.mapInArrow(_counter(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # One row per id of the vocabulary at most.
     ranked = sorted(counts.collect(), key=lambda r: (-r.n, r.id))
     by_rank = np.array([r.id for r in ranked], np.int64)
@@ -79,7 +79,7 @@ def write(documents: DataFrame, folder: str, vocabulary: str | None = None, end_
         pa.table({"rank": np.arange(len(by_rank)), "id": by_rank}).to_pandas(), "rank long, id long"
     )
     ranks.coalesce(1).write.parquet(f"{folder}/ranks")
-    coded = ids.mapInArrow(_ranker(by_rank, before), f"part int, {_FILES}")
+    coded = ids.mapInArrow(_ranker(by_rank, before, kind), f"part int, {_FILES}")
     # A scan deals files by size: the coded rows go back to the ranges they came from, in order.
     placed = coded.repartitionById(max(before, default=0) + 1, F.col("part")).sortWithinPartitions("start")
     placed.drop("part").write.parquet(f"{folder}/documents")
@@ -94,7 +94,12 @@ def _batch(columns: list, types: list, schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
 
-def _tokenizer(path: str, end_id: int):
+def _id_type(path: str, end_id: int) -> str:
+    """The narrowest type for stored ids: two bytes if the vocabulary allows."""
+    return "<u2" if max(encoder(path).library.get_vocab_size() - 1, end_id) < 1 << 16 else "<u4"
+
+
+def _tokenizer(path: str, end_id: int, kind: str):
     """Ids of each document, and the running count of ids within its partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +109,7 @@ def _tokenizer(path: str, end_id: int):
                 rows = batch.slice(at, TEXTS_PER_CALL)
                 ids, counts = encode(rows.column(1).to_pylist())
                 ends = np.cumsum(counts)
-                blobs = [np.append(ids[b:e], end_id).astype("<u4").tobytes()
+                blobs = [np.append(ids[b:e], end_id).astype(kind).tobytes()
                          for b, e in zip(ends - counts, ends)]
                 after = done + np.cumsum(counts + 1)
                 yield _batch(
@@ -117,27 +122,31 @@ def _tokenizer(path: str, end_id: int):
     return run
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counter(kind: str):
     """How often each id occurs in a partition."""
-    total = np.zeros(1, np.int64)
-    for batch in batches:
-        for blob in batch.column("ids").to_pylist():
-            found = np.bincount(np.frombuffer(blob, "<u4"))
-            if len(found) > len(total):
-                total = np.pad(total, (0, len(found) - len(total)))
-            total[: len(found)] += found
-    used = np.flatnonzero(total)
-    yield _batch([used, total[used]], [pa.int64(), pa.int64()], "id long, n long")
-
-
-def _ranker(by_rank: np.ndarray, before: dict[int, int]):
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1, np.int64)
+        for batch in batches:
+            for blob in batch.column("ids").to_pylist():
+                found = np.bincount(np.frombuffer(blob, kind))
+                if len(found) > len(total):
+                    total = np.pad(total, (0, len(found) - len(total)))
+                total[: len(found)] += found
+        used = np.flatnonzero(total)
+        yield _batch([used, total[used]], [pa.int64(), pa.int64()], "id long, n long")
+
+    return run
+
+
+def _ranker(by_rank: np.ndarray, before: dict[int, int], kind: str):
     """Coded documents, with the ids of all documents before them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
         rank[by_rank] = np.arange(len(by_rank))
         for batch in batches:
-            ids = [np.frombuffer(b, "<u4") for b in batch.column("ids").to_pylist()]
+            ids = [np.frombuffer(b, kind) for b in batch.column("ids").to_pylist()]
             coded = [encode_numbers(rank[x]) for x in ids]
             base = [before[p] for p in batch.column("part").to_pylist()]
             start = np.asarray(base, np.int64) + batch.column("start").to_numpy()
