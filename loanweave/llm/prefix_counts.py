@@ -33,7 +33,7 @@ from loanweave.llm.tokens import CLOSING, LETTERS, spans, vocabulary_path
 PREFIXES = "doc_id long, n_bytes long, n_chars long, n_tokens long, width int, steps binary"
 TEXTS_PER_CALL = 64
 PIECE = 1 << 18  # characters of a long text handled at once
-KEPT_CHARS = 4_000_000  # characters of distinct pieces kept per worker; beyond it the cache starts anew
+KEPT_CHARS = 12_000_000  # characters of distinct pieces kept per worker; beyond it the cache starts anew
 KEPT_PAIRS = 500_000
 LONG_WORD = 256  # characters; longer words are counted but not kept
 #: A place that is a word boundary in any text: a single space between two other characters.
@@ -71,14 +71,19 @@ class PrefixCounter:
         ) or r"(?!)")
         vocabulary = self.library.get_vocab(with_added_tokens=False)
         self.name = [""] * (max(vocabulary.values()) + 1)
-        # Id of each token, and -1 for the beginnings of tokens that are none themselves.
-        self.step: dict[str, int] = {}
+        # A tree of the tokens' letters: letter -> [id of the token that ends here or -1, subtree].
+        self.tree: dict[str, list] = {}
         for token, number in vocabulary.items():
             self.name[number] = token
-            for end in range(1, len(token)):
-                self.step.setdefault(token[:end], -1)
-        self.step.update(vocabulary)
-        self.pairs: dict[int, bool] = {}
+            node = self.tree
+            for letter in token[:-1]:
+                entry = node.setdefault(letter, [-1, None])
+                if entry[1] is None:
+                    entry[1] = {}
+                node = entry[1]
+            node.setdefault(token[-1], [-1, None])[0] = number
+        self.fitting: dict[int, dict[int, bool]] = {}
+        self.known_pairs = 0
         self._start_anew()
 
     def _start_anew(self) -> None:
@@ -89,39 +94,36 @@ class PrefixCounter:
         self.words: dict[str, array] = {}
 
     def _fits(self, first: int, second: int) -> bool:
-        key = first << 20 | second
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            found = self.tokenize(self.name[first] + self.name[second])
-            known = self.pairs[key] = len(found) == 2 and found[0].id == first and found[1].id == second
-        return known
+        """Whether the merges, run on both tokens together, give these two again."""
+        found = self.tokenize(self.name[first] + self.name[second])
+        good = len(found) == 2 and found[0].id == first and found[1].id == second
+        if self.known_pairs >= KEPT_PAIRS:
+            self.fitting.clear()
+            self.known_pairs = 0
+        self.fitting.setdefault(first, {})[second] = good
+        self.known_pairs += 1
+        return good
 
     def letter_counts(self, word: str) -> Sequence[int]:
         """Counts of all prefixes of one word of the pattern, written in byte letters."""
-        n, step, pairs, fits = len(word), self.step, self.pairs, self._fits
+        n, tree, fitting = len(word), self.tree, self.fitting
         if n > LONG_WORD:
             last, count = array("i", [-1]) * (n + 1), array("i", [0]) * (n + 1)
         else:
             last, count = [-1] * (n + 1), [0] * (n + 1)
         for start in range(n):
             before, following = last[start], count[start] + 1
-            end = start + 1
-            while end <= n:
-                token = step.get(word[start:end])
-                if token is None:
-                    break
+            known = fitting.get(before, {})
+            node, end = tree, start
+            while end < n and node is not None and (entry := node.get(word[end])) is not None:
+                end += 1
+                token, node = entry
                 if token >= 0 and not count[end]:
-                    if before < 0:
-                        good = True
-                    else:
-                        good = pairs.get(before << 20 | token)
-                        if good is None:
-                            good = fits(before, token)
+                    good = before < 0 or known.get(token)
+                    if good is None:
+                        good = self._fits(before, token)
                     if good:
                         last[end], count[end] = token, following
-                end += 1
         return count[1:]
 
     def _plain(self, text: str) -> np.ndarray:
