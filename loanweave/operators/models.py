@@ -1,18 +1,19 @@
-"""Model jobs on Spark ML: fitting, scoring and their metric tables."""
+"""Model jobs: fitting, scoring and their metric tables."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import AFTSurvivalRegression, GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanweave.fixed import MODEL_FEATURES, POST_LOSS_COLUMNS, SEVERITY_FEATURES, SURVIVAL_FEATURES
+from loanweave.operators import linear
 from loanweave.operators.evaluation import (
     classification_metrics,
     portfolio_backtest,
@@ -21,6 +22,7 @@ from loanweave.operators.evaluation import (
     severity_errors,
     top_decile_capture,
 )
+from loanweave.operators.linear import Linear
 from loanweave.operators.ordered import exact_quantiles
 from loanweave.operators.features import temporal_split
 from loanweave.operators.performance import severity_loans
@@ -48,25 +50,14 @@ def numeric_features(df: DataFrame, features: Sequence[str], fill: float | None
     return df.withColumns(numbers)
 
 
-def _stages(features: Sequence[str], impute: bool, scale: bool) -> list:
+def _stages(features: Sequence[str], impute: bool) -> list:
     names = [f"x_{c}" for c in features]
     stages: list = []
     if impute:
         filled = [f"{n}_f" for n in names]
         stages.append(Imputer(strategy="median", inputCols=names, outputCols=filled))
         names = filled
-    stages.append(
-        VectorAssembler(
-            inputCols=names, outputCol="raw_features" if scale else "features",
-            handleInvalid="keep",
-        )
-    )
-    if scale:
-        stages.append(
-            StandardScaler(
-                inputCol="raw_features", outputCol="features", withMean=True, withStd=True
-            )
-        )
+    stages.append(VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep"))
     return stages
 
 
@@ -88,36 +79,29 @@ def _labelled(df: DataFrame, target: str) -> DataFrame:
 
 def fit_logistic(
     train: DataFrame, target: str, features: Sequence[str] = tuple(MODEL_FEATURES),
-    max_iter: int = 1000, inverse_penalty: float = 1.0,
-) -> PipelineModel:
-    """Median imputation, scaling and class-balanced logistic regression.
-
-    The loss is summed over rows against a unit ridge over ``inverse_penalty``; Spark takes the
-    mean loss, hence the division by the weights' sum, which is the number of rows.
-    """
+    inverse_penalty: float = 1.0,
+) -> Linear:
+    """Median imputation, scaling and class-balanced logistic regression: the loss summed over rows
+    against a unit ridge over ``inverse_penalty``."""
     rows = _labelled(train, target)
-    events, others = _class_counts(rows, target)
-    n = events + others
-    weight = F.when(F.col("label") == 1, n / (2.0 * events)).otherwise(n / (2.0 * others))
-    model = LogisticRegression(
-        weightCol="class_weight", maxIter=max_iter, regParam=1.0 / (inverse_penalty * n)
-    )
-    return Pipeline(stages=[*_stages(features, True, True), model]).fit(
-        numeric_features(rows, features).withColumn("class_weight", weight)
+    _class_counts(rows, target)
+    return linear.fit(
+        rows, features, F.col("label"), linear.LOGISTIC, ridge=1.0 / inverse_penalty,
+        weigh=lambda ones, zeros: ((ones + zeros) / (2.0 * ones), (ones + zeros) / (2.0 * zeros)),
     )
 
 
 def fit_logistic_full(
     train: DataFrame, target: str, features: Sequence[str] = tuple(MODEL_FEATURES),
-    penalty: float = 1e-5, max_iter: int = 100,
-) -> PipelineModel:
-    """Logistic regression over all rows: missing values are 0, events weigh non-events/events."""
+    penalty: float = 1e-5,
+) -> Linear:
+    """Logistic regression over all rows: missing values are 0, events weigh non-events/events; the
+    ridge is ``penalty`` against the mean loss."""
     rows = _labelled(train, target)
-    events, others = _class_counts(rows, target)
-    weight = F.when(F.col("label") == 1, others / float(events)).otherwise(1.0)
-    model = LogisticRegression(weightCol="class_weight", regParam=penalty, maxIter=max_iter)
-    return Pipeline(stages=[*_stages(features, False, True), model]).fit(
-        numeric_features(rows, features, fill=0.0).withColumn("class_weight", weight)
+    _class_counts(rows, target)
+    return linear.fit(
+        rows, features, F.col("label"), linear.LOGISTIC, mean_ridge=penalty, fill=0.0,
+        weigh=lambda ones, zeros: (zeros / float(ones), 1.0),
     )
 
 
@@ -170,16 +154,19 @@ def fit_gbt(
         minInstancesPerNode=25, weightCol="class_weight", seed=42,
     )
     return _with_patience(
-        _stages(features, False, False), booster, prepared(train), prepared(validation), max_iter,
+        _stages(features, False), booster, prepared(train), prepared(validation), max_iter,
         lambda model, rows: model.evaluateEachIteration(rows),
     )
 
 
 def score(
-    model: PipelineModel, df: DataFrame, name: str,
+    model: Linear | PipelineModel, df: DataFrame, name: str,
     features: Sequence[str] = tuple(MODEL_FEATURES), fill: float | None = None,
 ) -> DataFrame:
-    """Add the event probability as ``name``; features that ``df`` lacks count as missing."""
+    """Add the event probability as ``name``; features that ``df`` lacks count as missing. A linear
+    model knows its features and fills; those given are for boosted trees."""
+    if isinstance(model, Linear):
+        return df.select(*df.columns, model.score(df).alias(name))
     scored = model.transform(numeric_features(df, features, fill))
     return scored.select(
         *df.columns, vector_to_array("probability").getItem(1).alias(name)
@@ -223,7 +210,7 @@ def model_comparison(*metrics: DataFrame) -> DataFrame:
 
 
 def score_holdout(
-    snapshots: DataFrame, models: dict[str, tuple[PipelineModel, Sequence[str], float | None]]
+    snapshots: DataFrame, models: dict[str, tuple[Linear | PipelineModel, Sequence[str], float | None]]
 ) -> DataFrame:
     """Scores of every model (name -> model, features, fill) on the given snapshots."""
     keep = [
@@ -301,22 +288,13 @@ def severity_training(panel: DataFrame) -> DataFrame:
 
 def fit_severity_ridge(
     train: DataFrame, features: Sequence[str] = tuple(SEVERITY_FEATURES), alpha: float = 1.0
-) -> PipelineModel:
-    """Ridge regression of severity after imputation and scaling.
-
-    Spark divides the squared loss by the row count and measures the penalty in units of the
-    label's deviation, hence the conversion of ``alpha``.
-    """
-    rows = train.withColumn("label", F.col("loss_severity"))
-    shape = rows.agg(F.count("label").alias("n"), F.stddev_samp("label").alias("sd")).first()
-    if shape["n"] < 10:
+) -> Linear:
+    """Ridge regression of severity after imputation and scaling: half the squared errors, summed,
+    plus ``alpha`` times half the squared coefficients."""
+    rows = train.where(F.col("loss_severity").isNotNull())
+    if rows.limit(10).count() < 10:
         raise ValueError("too few realized losses to fit severity")
-    model = LinearRegression(
-        regParam=alpha * (shape["sd"] or 1.0) / shape["n"], elasticNetParam=0.0, solver="normal"
-    )
-    return Pipeline(stages=[*_stages(features, True, True), model]).fit(
-        numeric_features(rows, features)
-    )
+    return linear.fit(rows, features, F.col("loss_severity"), linear.IDENTITY, ridge=alpha)
 
 
 def fit_severity_gbt(
@@ -333,22 +311,25 @@ def fit_severity_gbt(
         for df in (train, validation)
     )
     return _with_patience(
-        _stages(features, True, False), booster, rows, check, max_iter,
+        _stages(features, True), booster, rows, check, max_iter,
         lambda model, df: model.evaluateEachIteration(df, "squared"),
     )
 
 
 def predict_severity(
-    model: PipelineModel, df: DataFrame, features: Sequence[str] = tuple(SEVERITY_FEATURES),
+    model: Linear | PipelineModel, df: DataFrame, features: Sequence[str] = tuple(SEVERITY_FEATURES),
     name: str = "loss_severity_score",
 ) -> DataFrame:
     """Add the predicted severity, clipped to [0, 1.5]."""
-    predicted = model.transform(numeric_features(df, features))
+    if isinstance(model, Linear):
+        predicted = df.withColumn("prediction", model.score(df))
+    else:
+        predicted = model.transform(numeric_features(df, features))
     clipped = F.least(F.greatest("prediction", F.lit(0.0)), F.lit(MAX_SEVERITY))
     return predicted.select(*df.columns, clipped.alias(name))
 
 
-def severity_metrics(model: PipelineModel, test: DataFrame, model_name: str) -> DataFrame:
+def severity_metrics(model: Linear | PipelineModel, test: DataFrame, model_name: str) -> DataFrame:
     scored = predict_severity(model, test)
     return severity_errors(
         scored, "loss_severity", "loss_severity_score", "zero_balance_removal_upb"
@@ -397,31 +378,24 @@ def survival_table(panel: DataFrame, event: str) -> DataFrame:
 
 
 def fit_aft(
-    train: DataFrame, features: Sequence[str] = tuple(SURVIVAL_FEATURES)
-) -> PipelineModel:
-    """Accelerated failure time regression (Weibull) with right-censored loans."""
-    rows = train.where(F.col("time_lower") > 0).withColumns(
-        {
-            "label": F.col("time_lower").cast("double"),
-            "censor": F.col("event_observed").cast("double"),
-        }
-    )
-    model = AFTSurvivalRegression(censorCol="censor", labelCol="label")
-    return Pipeline(stages=[*_stages(features, True, True), model]).fit(
-        numeric_features(rows, features)
+    train: DataFrame, features: Sequence[str] = tuple(SURVIVAL_FEATURES), penalty: float = 1e-6
+) -> Linear:
+    """Accelerated failure time regression (Weibull) with right-censored loans. The slight ridge,
+    against the mean loss, makes the optimum unique when features repeat one another."""
+    rows = train.where(F.col("time_lower") > 0)
+    return linear.fit(
+        rows, features, F.ln(F.col("time_lower").cast("double")), linear.WEIBULL, mean_ridge=penalty,
+        seen=F.col("event_observed"),
     )
 
 
-def predict_survival(
-    model: PipelineModel, df: DataFrame, features: Sequence[str] = tuple(SURVIVAL_FEATURES)
-) -> DataFrame:
+def predict_survival(model: Linear, df: DataFrame) -> DataFrame:
     """Add the predicted time to the event."""
-    predicted = model.transform(numeric_features(df, features))
-    return predicted.select(*df.columns, F.col("prediction").alias("predicted_time"))
+    return df.select(*df.columns, model.score(df).alias("predicted_time"))
 
 
 def aft_metrics(
-    model: PipelineModel, train: DataFrame, test: DataFrame, model_name: str
+    model: Linear, train: DataFrame, test: DataFrame, model_name: str
 ) -> DataFrame:
     """Loan and event counts, and the median predicted time of events and of censored loans."""
     scored = predict_survival(model, test)

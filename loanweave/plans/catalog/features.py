@@ -43,6 +43,13 @@ SNAPSHOTS = f"""
       OR credit_event_12m + prepayment_12m + serious_delinquency_12m > 0)
   )
 """
+ASOF_ROWS = f"""SELECT * FROM (
+    SELECT loan_id, reporting_period, current_upb, original_upb, original_interest_rate,
+      current_interest_rate, fico, original_ltv, original_cltv, dti, loan_age,
+      remaining_term, delinquency_months, estimated_ltv, mortgage_insurance_pct,
+      CAST(modification_flag AS INTEGER) AS modification_flag, {CODES}, {TRAILING}
+    FROM panel WHERE reporting_period <= DATE '{CUTOFF}' WINDOW {BACK})
+  WHERE reporting_period = DATE '{CUTOFF}'"""
 SNAPSHOT_FLOATS = (
     "current_upb original_upb original_interest_rate current_interest_rate original_ltv "
     "original_cltv dti estimated_ltv"
@@ -191,13 +198,7 @@ def register(catalog: Catalog) -> None:
     add(
         "asof_features",
         lambda c: X.asof_features(c.panel, CUTOFF, c.history),
-        f"""SELECT * FROM (
-              SELECT loan_id, reporting_period, current_upb, original_upb, original_interest_rate,
-                current_interest_rate, fico, original_ltv, original_cltv, dti, loan_age,
-                remaining_term, delinquency_months, estimated_ltv, mortgage_insurance_pct,
-                CAST(modification_flag AS INTEGER) AS modification_flag, {CODES}, {TRAILING}
-              FROM panel WHERE reporting_period <= DATE '{CUTOFF}' WINDOW {BACK})
-            WHERE reporting_period = DATE '{CUTOFF}'""",
+        ASOF_ROWS,
         SNAPSHOT_FLOATS + " mortgage_insurance_pct",
     )
     add(

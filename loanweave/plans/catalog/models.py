@@ -1,7 +1,7 @@
 """Evaluation queries on a fixed score, and model-fitting queries.
 
 The metric queries score with a plain formula, so their results do not depend on any fitted
-model and SQL can repeat them. The fitting queries have no SQL twin.
+model. Linear fits have SQL twins that find the same optimum; boosted trees have none.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from loanweave.operators import evaluation as E
 from loanweave.operators import features as X
 from loanweave.operators import models as M
 from loanweave.plans.catalog.base import CUTOFF, TRAIN_END, VALIDATION_END, Catalog, Context
-from loanweave.plans.catalog.features import SNAPSHOTS
+from loanweave.plans.catalog import fits
+from loanweave.plans.catalog.features import ASOF_ROWS, SNAPSHOTS
 from loanweave.plans.catalog.performance import SEVERITY
 from loanweave.storage import written
 
@@ -148,33 +149,96 @@ def _aft_row(c: Context, event: str, name: str) -> DataFrame:
 
 
 def _metrics(c: Context, model, name: str, target: str, fill: float | None) -> DataFrame:
-    rows = M.score(model, _split(c, "test"), "probability_of_event", fill=fill)
+    rows = written(M.score(model, _split(c, "test"), "probability_of_event", fill=fill), "scored")
     return M.metric_row(rows, name, target, "probability_of_event")
 
 
-def _models(c: Context) -> dict:
+def _linear(c: Context) -> dict:
     return {
         "credit_event_score": (_full(c, "credit_event_12m"), M.MODEL_FEATURES, 0.0),
         "prepayment_score": (_full(c, "prepayment_12m"), M.MODEL_FEATURES, 0.0),
-        "credit_event_gbt_score": (_gbt(c, "credit_event_12m"), M.MODEL_FEATURES, 0.0),
     }
 
 
-def _score_as_of(c: Context) -> DataFrame:
+def _models(c: Context) -> dict:
+    challenger = (_gbt(c, "credit_event_12m"), M.MODEL_FEATURES, 0.0)
+    return {**_linear(c), "credit_event_gbt_score": challenger}
+
+
+def _score_as_of(c: Context, models: dict) -> DataFrame:
     rows = X.asof_features(c.panel, CUTOFF, c.history)
-    for name, (model, features, fill) in _models(c).items():
+    for name, (model, features, fill) in models.items():
         rows = M.score(model, rows, name, features, fill)
-    return M.predict_severity(_ridge(c), rows).select(
-        "loan_id", *_models(c), "loss_severity_score"
+    return M.predict_severity(_ridge(c), rows).select("loan_id", *models, "loss_severity_score")
+
+
+# --- SQL twins of the linear fits ----------------------------------------------------------
+
+
+def _logistic_sql(name: str, target: str, end: int) -> fits.Fit:
+    return fits.Fit(
+        name, "snaps", M.MODEL_FEATURES, target, one="(ones + zeros) / (2e0 * ones)",
+        zero="(ones + zeros) / (2e0 * zeros)", where=f"{target} IS NOT NULL AND origination_year <= {end}",
     )
 
 
-def _in_range(backtest: DataFrame) -> DataFrame:
-    return backtest.withColumn("in_range", F.col("predicted_rate").between(0, 1)).drop(
-        "predicted_rate", "prediction_bias"
+def _full_sql(name: str, target: str) -> fits.Fit:
+    return fits.Fit(
+        name, "snaps", M.MODEL_FEATURES, target, fill="0e0", one="zeros / CAST(ones AS DOUBLE)",
+        ridge="1e-5 * (one * ones + zero * zeros)",
+        where=f"{target} IS NOT NULL AND origination_year <= {TRAIN_END}",
     )
 
 
+RIDGE_FIT = fits.Fit("ridge", "dry", M.SEVERITY_FEATURES, "loss_severity", "identity",
+                     where=f"origination_year <= {VALIDATION_END}")
+
+
+def _survival_sql(event: str) -> str:
+    """Survival rows of all loans."""
+    static = ", ".join(["loan_id", "origination_year", *M.SURVIVAL_FEATURES])
+    return f"""SELECT {static}, ifnull(e, last_age) AS time_lower, if(e IS NULL, 0, 1) AS event_observed,
+        CAST(ifnull(e, 1e9) AS DOUBLE) AS time_upper
+      FROM (SELECT DISTINCT {static} FROM panel)
+      JOIN (SELECT loan_id, max(loan_age) AS last_age, min(loan_age) FILTER (WHERE {event}) AS e
+        FROM panel GROUP BY 1) USING (loan_id)"""
+
+
+def _aft_sql(name: str) -> fits.Fit:
+    return fits.Fit(
+        name, f"{name}_rows", M.SURVIVAL_FEATURES, "ln(time_lower)", "weibull", ridge="1e-6 * n",
+        seen="event_observed", where=f"time_lower > 0 AND origination_year <= {VALIDATION_END}",
+    )
+
+
+def _aft_ctes(name: str, event: str) -> str:
+    return f"{name}_rows AS MATERIALIZED ({_survival_sql(event)}), {_aft_sql(name).ctes()}"
+
+
+def _clipped(fit: fits.Fit, target: str, where: str, weight: str = "current_upb", rows: str = "snaps") -> str:
+    return f"""clipped AS MATERIALIZED (SELECT CAST({target} AS DOUBLE) AS y, {weight} AS w,
+      least(greatest({fit.score()}, 1e-8), 1 - 1e-8) AS p FROM {rows}, {fit.name}_model
+      WHERE {target} IS NOT NULL AND {where})"""
+
+
+def _severity_metrics(name: str) -> str:
+    return f"""SELECT '{name}' AS model_name, count(*) AS observations, avg(abs(e)) AS mae,
+        sqrt(avg(e * e)) AS rmse, avg(e) AS prediction_bias, sum(abs(e) * w) / sum(w) AS balance_weighted_mae
+      FROM (SELECT least(greatest({RIDGE_FIT.score()}, 0), {M.MAX_SEVERITY}) - loss_severity AS e,
+          zero_balance_removal_upb AS w FROM dry, ridge_model WHERE origination_year > {VALIDATION_END})"""
+
+
+def _aft_metrics(name: str, label: str) -> str:
+    late = f"{name}_rows WHERE origination_year > {VALIDATION_END}"
+    early = f"{name}_rows WHERE origination_year <= {VALIDATION_END}"
+    return f"""SELECT '{label}' AS model_name, (SELECT count(*) FROM {early}) AS train_loans, count(*) AS test_loans,
+        (SELECT sum(event_observed) FROM {early}) AS train_events, sum(event_observed) AS test_events,
+        median(t) FILTER (WHERE event_observed = 1) AS median_predicted_time_event,
+        median(t) FILTER (WHERE event_observed = 0) AS median_predicted_time_censored
+      FROM (SELECT event_observed, {_aft_sql(name).score()} AS t FROM {name}_rows, {name}_model
+        WHERE origination_year > {VALIDATION_END})"""
+
+
 def _balance(c: Context, target: str) -> DataFrame:
     """Rows and events of the logistic fit, and whether weighted expected events meet the events."""
     train = _split(c, "train").where(F.col(target).isNotNull())
@@ -347,12 +411,52 @@ def register(catalog: Catalog) -> None:
 
     # Fitted models.
     credit, prepay = "credit_event_12m", "prepayment_12m"
-    add("fit_logistic", lambda c: _metrics(
-        c,
-        _once(c, "logistic", lambda: M.fit_logistic(_split(c, "train"), credit)),
-        "logistic", credit, None,
-    ))
-    add("fit_logistic_full", lambda c: _metrics(c, _full(c, credit), "full_logistic", credit, 0.0))
+    late = f"origination_year > {VALIDATION_END}"
+    one = _logistic_sql("lg", credit, TRAIN_END)
+    full, full_prepay = _full_sql("fc", credit), _full_sql("fp", prepay)
+    add(
+        "fit_logistic",
+        lambda c: _metrics(
+            c, _once(c, "logistic", lambda: M.fit_logistic(_split(c, "train"), credit)),
+            "logistic", credit, None,
+        ),
+        fits.metrics("clipped", "logistic", credit), fits.METRIC_FLOATS,
+        f"{SNAPSHOTS}, {one.ctes()}, {_clipped(one, credit, late)}", recursive=True,
+    )
+    add(
+        "fit_logistic_full",
+        lambda c: _metrics(c, _full(c, credit), "full_logistic", credit, 0.0),
+        fits.metrics("clipped", "full_logistic", credit), fits.METRIC_FLOATS,
+        f"{SNAPSHOTS}, {full.ctes()}, {_clipped(full, credit, late)}", recursive=True,
+    )
+    add(
+        "fit_logistic_full_prepay",
+        lambda c: _metrics(c, _full(c, prepay), "full_logistic", prepay, 0.0),
+        fits.metrics("clipped", "full_logistic", prepay), fits.METRIC_FLOATS,
+        f"{SNAPSHOTS}, {full_prepay.ctes()}, {_clipped(full_prepay, prepay, late)}", recursive=True,
+    )
+    # Coefficients, and whether the gradient of the penalised loss is zero at them.
+    add(
+        "logistic_terms",
+        lambda c: _once(c, "logistic", lambda: M.fit_logistic(_split(c, "train"), credit)).table(c.spark),
+        fits.terms(one), fits.TERM_FLOATS, f"{SNAPSHOTS}, {one.ctes()}", recursive=True,
+    )
+    add(
+        "logistic_full_terms",
+        lambda c: _full(c, credit).table(c.spark),
+        fits.terms(full), fits.TERM_FLOATS, f"{SNAPSHOTS}, {full.ctes()}", recursive=True,
+    )
+    add(
+        "severity_ridge_terms",
+        lambda c: _ridge(c).table(c.spark),
+        fits.terms(RIDGE_FIT), fits.TERM_FLOATS, f"{SEVERITY}, {DRY}, {RIDGE_FIT.ctes()}", recursive=True,
+    )
+    for name, event in (("credit", "is_credit_event"), ("prepay", "is_voluntary_prepayment")):
+        add(
+            f"aft_{name}_terms",
+            lambda c, event=event: _aft(c, event).table(c.spark),
+            fits.terms(_aft_sql("aft")), fits.TERM_FLOATS, _aft_ctes("aft", event), recursive=True,
+        )
     add("fit_gbt", lambda c: _metrics(
         c, _gbt(c, credit), "gbt_challenger", credit, 0.0
     ).withColumn("trees", F.lit(M.tree_count(_gbt(c, credit)))))
@@ -369,47 +473,66 @@ def register(catalog: Catalog) -> None:
             len(M.MODEL_FEATURES),
         ).drop("logged_at"),
     )
-    add("fit_severity_ridge", lambda c: M.severity_metrics(
-        _ridge(c), _severity_rows(c, True), "ridge_conditional_severity"))
+    add(
+        "fit_severity_ridge",
+        lambda c: M.severity_metrics(_ridge(c), _severity_rows(c, True), "ridge_conditional_severity"),
+        _severity_metrics("ridge_conditional_severity"),
+        "mae rmse prediction_bias balance_weighted_mae",
+        f"{SEVERITY}, {DRY}, {RIDGE_FIT.ctes()}", recursive=True,
+    )
     add("fit_severity_gbt", lambda c: M.severity_metrics(
         _once(c, "severity gbt", lambda: M.fit_severity_gbt(
             _severity_rows(c, False).where(F.col("origination_year") <= TRAIN_END),
             _severity_rows(c, False).where(F.col("origination_year") > TRAIN_END),
         )),
         _severity_rows(c, True), "gbt_conditional_severity"))
-    add("fit_aft_credit", lambda c: M.predict_survival(
-        _aft(c, "is_credit_event"), _survival(c, "is_credit_event", True)))
-    add("fit_aft_prepay", lambda c: M.predict_survival(
-        _aft(c, "is_voluntary_prepayment"), _survival(c, "is_voluntary_prepayment", True)))
-    add("aft_metrics", lambda c: _aft_row(c, "is_credit_event", "aft_credit").unionByName(
-        _aft_row(c, "is_voluntary_prepayment", "aft_prepayment")))
-    # What SQL can state of a fit: which rows, how many events, scores in range, the balance of
-    # events and expected events that every logistic fit with an intercept has.
-    test_rows = f"origination_year > {VALIDATION_END}"
-    cohorts = f"""count(*) AS observations, avg(CAST({credit} AS DOUBLE)) AS realized_rate,
-      true AS in_range FROM snaps WHERE {credit} IS NOT NULL"""
+    for name, event in (("credit", "is_credit_event"), ("prepay", "is_voluntary_prepayment")):
+        add(
+            f"fit_aft_{name}",
+            lambda c, event=event: M.predict_survival(_aft(c, event), _survival(c, event, True)),
+            f"""SELECT {static}, time_lower, time_upper, event_observed, {_aft_sql("aft").score()} AS predicted_time
+                FROM aft_rows, aft_model WHERE {late}""",
+            "original_ltv original_cltv dti original_upb original_interest_rate "
+            "mortgage_insurance_pct time_upper predicted_time",
+            _aft_ctes("aft", event), recursive=True,
+        )
+    add(
+        "aft_metrics",
+        lambda c: _aft_row(c, "is_credit_event", "aft_credit").unionByName(
+            _aft_row(c, "is_voluntary_prepayment", "aft_prepayment")),
+        f"{_aft_metrics('ac', 'aft_credit')} UNION ALL {_aft_metrics('ap', 'aft_prepayment')}",
+        "median_predicted_time_event median_predicted_time_censored",
+        f"{_aft_ctes('ac', 'is_credit_event')}, {_aft_ctes('ap', 'is_voluntary_prepayment')}",
+        recursive=True,
+    )
+    # Composed jobs. Of boosted scores SQL states the rows and that they are in range.
+
+    def cohorts(fit: fits.Fit, where: str, columns: str = "") -> str:
+        return f"""SELECT {columns} scoring_date, origination_year, count(*) AS observations,
+            avg(CAST({credit} AS DOUBLE)) AS realized_rate, avg({fit.score()}) AS predicted_rate,
+            avg({fit.score()}) - avg(CAST({credit} AS DOUBLE)) AS prediction_bias
+          FROM snaps, {fit.name}_model WHERE {credit} IS NOT NULL AND {where} GROUP BY ALL"""
+
+    rates = "realized_rate predicted_rate prediction_bias"
     add(
         "baseline_backtest",
-        lambda c: _in_range(M.baseline_job(
+        lambda c: M.baseline_job(
             _once(c, "snapshots", lambda: written(c.snapshots, "snapshots")), credit, TRAIN_END,
             VALIDATION_END,
-        )[2]),
-        f"SELECT scoring_date, origination_year, {cohorts} AND {test_rows} GROUP BY ALL",
-        "realized_rate",
-        SNAPSHOTS,
+        )[2],
+        cohorts(one, late), rates, f"{SNAPSHOTS}, {one.ctes()}", recursive=True,
     )
     splits = (TRAIN_END, TRAIN_END + 1)
+    by_year = {year: _logistic_sql(f"lg{year}", credit, year) for year in splits}
     add(
         "split_backtest",
-        lambda c: _in_range(M.split_backtest(
+        lambda c: M.split_backtest(
             _once(c, "snapshots", lambda: written(c.snapshots, "snapshots")), credit, splits
-        )),
+        ),
         " UNION ALL ".join(
-            f"""SELECT {year} AS split_year, scoring_date, origination_year, {cohorts}
-                AND origination_year > {year} GROUP BY ALL""" for year in splits
+            cohorts(fit, f"origination_year > {year}", f"{year} AS split_year,") for year, fit in by_year.items()
         ),
-        "realized_rate",
-        SNAPSHOTS,
+        rates, f"{SNAPSHOTS}, {', '.join(fit.ctes() for fit in by_year.values())}", recursive=True,
     )
     add(
         "logistic_balance",
@@ -427,12 +550,12 @@ def register(catalog: Catalog) -> None:
         ),
         f"""SELECT loan_id, scoring_date, origination_year, {credit}, true AS credit_event_score,
               true AS prepayment_score, true AS credit_event_gbt_score
-            FROM snaps WHERE {test_rows}""",
+            FROM snaps WHERE {late}""",
         ctes=SNAPSHOTS,
     )
     add(
         "score_as_of_rows",
-        lambda c: _score_as_of(c).select(
+        lambda c: _score_as_of(c, _models(c)).select(
             "loan_id", *[F.col(name).between(0, 1).alias(name) for name in _models(c)],
             F.col("loss_severity_score").between(0, 1.5).alias("loss_severity_score"),
         ),
@@ -440,5 +563,24 @@ def register(catalog: Catalog) -> None:
               true AS credit_event_gbt_score, true AS loss_severity_score
             FROM panel WHERE reporting_period = DATE '{CUTOFF}'""",
     )
+    # The linear scores by value; with the boosted ones there is no SQL.
+    linear_ctes = f"{SNAPSHOTS}, {full.ctes()}, {full_prepay.ctes()}"
+    linear_sql = f"{full.score()} AS credit_event_score, {full_prepay.score()} AS prepayment_score"
+    add(
+        "score_oot_linear",
+        lambda c: M.score_holdout(_split(c, "test"), _linear(c)),
+        f"""SELECT loan_id, scoring_date, origination_year, current_upb, fico, original_ltv, {credit},
+              {prepay}, {linear_sql} FROM snaps, fc_model, fp_model WHERE {late}""",
+        "current_upb original_ltv credit_event_score prepayment_score", linear_ctes, recursive=True,
+    )
+    add(
+        "score_as_of_linear",
+        lambda c: _score_as_of(c, _linear(c)),
+        f"""SELECT loan_id, {linear_sql},
+              least(greatest({RIDGE_FIT.score()}, 0), {M.MAX_SEVERITY}) AS loss_severity_score
+            FROM ({ASOF_ROWS}), fc_model, fp_model, ridge_model""",
+        "credit_event_score prepayment_score loss_severity_score",
+        f"{linear_ctes}, {SEVERITY}, {DRY}, {RIDGE_FIT.ctes()}", recursive=True,
+    )
     add("score_oot", lambda c: M.score_holdout(_split(c, "test"), _models(c)))
-    add("score_as_of", _score_as_of)
+    add("score_as_of", lambda c: _score_as_of(c, _models(c)))

@@ -149,7 +149,7 @@ def test_ridge_is_the_closed_form(rows):
     x = (x - x.mean(0)) / x.std(0, ddof=1)
     y = f["loss_severity"].to_numpy()
     expected = np.linalg.solve(x.T @ x + alpha * np.eye(2), x.T @ (y - y.mean()))
-    assert model.stages[-1].coefficients.toArray() == pytest.approx(expected, rel=2e-2)
+    assert np.array(model.coefficients) == pytest.approx(expected, rel=2e-2)
     predicted = M.predict_severity(model, rows, FEATURES)
     low, high = predicted.agg(F.min("loss_severity_score"), F.max("loss_severity_score")).first()
     assert 0.0 <= low <= high <= 1.5
@@ -190,7 +190,7 @@ def test_logistic_penalty_is_of_the_summed_loss(rows):
     x = (x - x.mean(0)) / x.std(0, ddof=1)
     y = f["event"].to_numpy(float)
     w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
-    b, a = model.stages[-1].coefficients.toArray(), model.stages[-1].intercept
+    b, a = np.array(model.coefficients), model.intercept
     p = 1 / (1 + np.exp(-(x @ b + a)))
     gradient = x.T @ (w * (p - y)) + b / 0.01
     assert np.abs(gradient).max() < 0.02 * np.abs(b / 0.01).max() and abs((w * (p - y)).sum()) < 0.5
