@@ -40,11 +40,85 @@ ENDED_BY = {
 }
 CLOSED_ONLY_INSIDE = frozenset("ul ol dl table select".split())  # what stops the search upwards
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
-    re.S,
-)
-_ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label|data-gold)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+# Words by which class, id and role values name an advert.
+ADVERT = ("advert", "sponsor", "promo", "banner")
+ADVERT_WORDS = frozenset(["ad", "ads", "adv", "adbox"])
+DESCRIBING = frozenset(["class", "id", "role", "itemprop", "aria-label"])
+
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_GAP = re.compile(r"[\s/]*")
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(\s*=\s*)?")
+_UNQUOTED = re.compile(r"[^\s>]*")
+
+
+class Scanner:
+    """Tags of a page, in one forward pass: quotes count only after an equals sign, and one that is
+    never closed is an ordinary character."""
+
+    def __init__(self, source: str) -> None:
+        self.source = source
+        self.unclosed: set[str] = set()  # quotes that do not come again
+
+    def next(self, at: int) -> tuple[int, int, bool, str | None, bool, list[tuple[str, str]]] | None:
+        """(begin, end, closing, name, closes itself, attributes) of the next tag from ``at``; the
+        name of a comment or declaration is none."""
+        source = self.source
+        while (begin := source.find("<", at)) >= 0:
+            following = source[begin + 1 : begin + 2]
+            if following == "!" or following == "?":
+                return begin, self._comment_end(begin), False, None, False, []
+            found = _NAME.match(source, begin)
+            if found:
+                end, slash, attributes = self._attributes(found.end())
+                return begin, end, following == "/", found.group(1).lower(), slash, attributes
+            if following == "/" and begin + 2 < len(source):  # what browsers read as a comment
+                return begin, self._after(">", begin), False, None, False, []
+            at = begin + 1
+        return None
+
+    def _after(self, what: str, at: int) -> int:
+        found = self.source.find(what, at)
+        return found + len(what) if found >= 0 else len(self.source)
+
+    def _comment_end(self, begin: int) -> int:
+        if not self.source.startswith("<!--", begin):
+            return self._after(">", begin)
+        for empty in ("<!-->", "<!--->"):
+            if self.source.startswith(empty, begin):
+                return begin + len(empty)
+        return self._after("-->", begin + 4)
+
+    def _attributes(self, at: int) -> tuple[int, bool, list[tuple[str, str]]]:
+        source, end, found = self.source, len(self.source), []
+        while True:
+            gap = _GAP.match(source, at)
+            at = gap.end()
+            if at >= end:
+                return end, False, found
+            if source[at] == ">":
+                return at + 1, source[at - 1] == "/", found
+            name = _ATTRIBUTE.match(source, at)
+            at, value = name.end(), ""
+            if name.group(2):
+                quote = source[at : at + 1]
+                if quote in ("'", '"') and quote not in self.unclosed:
+                    close = source.find(quote, at + 1)
+                    if close >= 0:
+                        value, at = source[at + 1 : close], close + 1
+                    else:
+                        self.unclosed.add(quote)
+                if not value and at == name.end():
+                    plain = _UNQUOTED.match(source, at)
+                    value, at = plain.group(), plain.end()
+            found.append((name.group(1).lower(), value))
+
+
+def names_advert(names: str) -> bool:
+    """Whether class, id and role values name an advert."""
+    for token in names.split():
+        if token in ADVERT_WORDS or token.startswith(("ad-", "ad_", "ads-")) or any(w in token for w in ADVERT):
+            return True
+    return False
 
 
 @dataclass
@@ -73,23 +147,39 @@ def parse(source: str) -> Page:
     stack: list[int] = [0]
     links, at, end = 0, 0, len(source)
     hidden: dict[int, int] | None = None
-    find = _TOKEN.search
+    nested: dict[int, int] = {}  # elements of its name inside each open inline advert
+    find = Scanner(source).next
     while at < end:
-        token = find(source, at)
-        begin = token.start() if token else end
+        token = find(at)
+        begin = token[0] if token else end
         if begin > at:
             text = source[at:begin]
             texts.append((stack[-1], html.unescape(text) if "&" in text else text, links > 0))
         if token is None:
             break
-        at = token.end()
-        tag = token.group(2)
+        _, at, closing, tag, slash, attributes = token
         if tag is None:
             continue
-        tag, closing = tag.lower(), token.group(1)
         if tag == "a":
             links = 0 if closing else 1
         if tag in INLINE:
+            top = stack[-1]
+            if closing:
+                if top in nested and tags[top] == tag:
+                    nested[top] -= 1
+                    if nested[top] < 0:
+                        stack.pop()
+            elif tag not in VOID:
+                names, gold = _names(attributes)
+                if names and names_advert(names):  # an advert is an element of its own, in its line
+                    tags.append(tag)
+                    parents.append(top)
+                    page.names.append(names)
+                    page.gold.append(gold)
+                    stack.append(len(tags) - 1)
+                    nested[len(tags) - 1] = 0
+                elif top in nested and tags[top] == tag:
+                    nested[top] += 1
             continue
         if tag in CELLS:
             texts.append((-1, "", False))
@@ -98,6 +188,9 @@ def parse(source: str) -> Page:
             if tag == "br" or tag == "hr":
                 texts.append((-1, "", False))
             continue
+        if tag == "head":  # all that belongs in it is hidden by itself, so its ends do not matter
+            texts.append((-1, "", False))
+            continue
         if closing:
             for depth in range(len(stack) - 1, 0, -1):
                 if tags[stack[depth]] == tag:
@@ -107,30 +200,17 @@ def parse(source: str) -> Page:
             continue
         if tag in PAIRED:
             if hidden is None or at not in hidden:
-                hidden = _hidden_ends(source, token.start())
+                hidden = _hidden_ends(source, begin)
             at = hidden[at]
             continue
-        if tag in RAW or tag == "head":
+        if tag in RAW:
             close = _closing(tag).search(source, at)
-            if close is None and tag == "head":
-                # A head that is never closed ends where the body starts.
-                body = re.compile(r"<body", re.I).search(source, at)
-                at = body.start() if body else end
-            else:
-                at = close.end() if close else end
+            at = close.end() if close else end
             continue
         links = 0
         _end_implied(stack, tags, tag)
         stack_top = stack[-1]
-        raw = token.group(3)
-        names, gold = "", ""
-        if "=" in raw:
-            for name, value in _ATTRIBUTE.findall(raw):
-                value = value.strip("\"'")
-                if name.lower() == "data-gold":
-                    gold = value
-                else:
-                    names += " " + value.lower()
+        names, gold = _names(attributes)
         texts.append((-1, "", False))
         tags.append(tag)
         parents.append(stack_top)
@@ -140,6 +220,17 @@ def parse(source: str) -> Page:
     return page
 
 
+def _names(attributes: list[tuple[str, str]]) -> tuple[str, str]:
+    """(describing values in lower case, label of a training page)."""
+    names, gold = "", ""
+    for name, value in attributes:
+        if name in DESCRIBING:
+            names += " " + value.lower()
+        elif name == "data-gold":
+            gold = value
+    return names, gold
+
+
 def _closing(tag: str) -> re.Pattern:
     return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
 
@@ -156,19 +247,18 @@ def _hidden_ends(source: str, at: int) -> dict[int, int]:
     waiting: list[int] = []  # start tags before which no block has come since
     closed_by_slash: set[int] = set()
     foreign, end = 0, len(source)
-    while token := _TOKEN.search(source, at):
-        at = token.end()
-        if token.group(2) is None:
+    find = Scanner(source).next
+    while token := find(at):
+        begin, at, closing, tag, slash, _ = token
+        if tag is None:
             continue
-        tag, closing = token.group(2).lower(), token.group(1)
-        slash = token.group(3).endswith("/")
         if tag in BLOCK:
             for start in waiting:
-                blocks[start] = token.start()
+                blocks[start] = begin
             waiting.clear()
             if not foreign:
                 for start in opened["svg"]:
-                    ends[start] = token.start()
+                    ends[start] = begin
                 opened["svg"].clear()
         elif tag == "foreignobject":
             if closing:
@@ -202,6 +292,8 @@ def _end_implied(stack: list[int], tags: list[str], tag: str) -> None:
     """End what the start of a block ends: an open paragraph, and list or table parts of its kind."""
     for depth in range(len(stack) - 1, 0, -1):
         open_tag = tags[stack[depth]]
+        if open_tag in INLINE:  # an advert in a line does not keep the line open
+            continue
         if open_tag == "p" or tag in ENDED_BY.get(open_tag, ()):
             del stack[depth:]
             return

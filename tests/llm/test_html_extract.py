@@ -138,3 +138,49 @@ def test_articles_with_icons_formulas_and_objects_are_whole(forest):
         " length. Third paragraph, after an object that never ends, for good measure. Fourth paragraph, after a"
         " drawing that never ends."
     )
+
+
+VALID = {
+    "<html><head><meta charset=x><p>Text, and so on.</p></html>": "Text, and so on.",
+    "<html><head><title>T</title><link rel=x><body><p>Text, and so on.</p></html>": "Text, and so on.",
+    "<p title='it's fine'>Hello world</p><p>It's more.</p>": "Hello world It's more.",
+    "<p>One, first.</p><!--><p>Two, second.</p>": "One, first. Two, second.",
+    "<p>One, first.</p><!---><p>Two, second.</p><!-- <p>no</p> --><p>Three.</p>": "One, first. Two, second. Three.",
+    "<p a=b'c>One, it's here.</p><p>Two, that's all.</p>": "One, it's here. Two, that's all.",
+    "<p>1 < 2 and a<b c</p>": "1 < 2 and a",
+    '<p data-x="a > b">One, inside.</p></ p><p>Two, after.</p>': "One, inside. Two, after.",
+}
+
+
+@pytest.mark.parametrize("source", VALID)
+def test_valid_pages_keep_their_text(source):
+    page = parse(source)
+    assert hx.main_text(page, [True] * len(page.tags)) == VALID[source]
+
+
+def test_only_attributes_of_that_name_describe(forest):
+    page = parse("""<article data-id="comment-ad" data-class="nav"><p>One.</p></article>""")
+    assert page.names[1].strip() == ""
+    body = "A sentence, long enough to be main text. " * 4
+    assert text_of(forest, f"""<body><article data-id="comment-ad"><p>{body}</p>
+        <p><a href='/x?id=nav'>A link</a>, and {body}</p></article></body>""").startswith("A sentence")
+
+
+def test_inline_adverts_are_elements_of_their_own(forest):
+    body = "A sentence, long enough to be main text. " * 4
+    source = f"""<html><body><article><h1>Title</h1><p>{body}<span class="advert">Buy <span>this</span> now</span> goes
+        on, <span class="lead">with emphasis</span>.</p><p>{body}</p></article></body></html>"""
+    page = parse(source)
+    assert page.tags.count("span") == 1
+    found = text_of(forest, source)
+    assert "Buy" not in found and "this" not in found and "goes on, with emphasis." in found
+
+
+def test_broken_tags_are_read_in_linear_time():
+    import time
+
+    for source in ("<i a" * 250_000 + "'", "<i a='" * 150_000, "<" * 10**6, "<p class=" * 100_000, "<!--" * 250_000,
+                   "<p a='b" * 100_000 + '"'):
+        start = time.perf_counter()
+        parse(source)
+        assert time.perf_counter() - start < 3, source[:10]
