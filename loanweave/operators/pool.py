@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanweave.fixed import (
@@ -19,7 +21,6 @@ from loanweave.fixed import (
 )
 from loanweave.functions.columns import ratio
 from loanweave.operators.collateral import portfolio_metrics
-from loanweave.operators.ordered import running_sums
 from loanweave.storage import written
 
 # --- eligibility -------------------------------------------------------------------------
@@ -168,186 +169,156 @@ def guardrails(
 
 # --- greedy selection --------------------------------------------------------------------
 
-BLOCK_ROWS = 65_536
+BLOCK_ROWS = 65_536  # loans in a block, the most that one task decides one by one
+BLOCKS = 256  # in a stretch, the upper level of the summaries
 
 
-class _Greedy:
-    """Exact greedy selection by rounds of running sums.
+class _Walk:
+    """Exact greedy selection over summaries of blocks.
 
-    The rule is sequential: in (score, loan) order take a loan unless it would lift the pool
-    above its ceiling or its state above its cap, and stop once the pool reaches its floor. Room
-    only shrinks, so within one state, as long as the ceiling cannot bind, the loans taken are
-    those before the first loan whose running state balance exceeds the state's room, then, with
-    the rest of the room, the same among the smaller loans after it, and so on. All states take
-    such a step in the same aggregate. A running total over the loans taken then finds where the
-    floor or the ceiling is met.
+    The rule is sequential: in (score, loan) order take a loan unless it would lift the pool above
+    its ceiling or its state above its cap, and stop once the pool reaches its floor. Most of it is
+    settled without looking at loans. From the total and the smallest balance of a state within a
+    block (or a stretch of blocks) it follows that all its loans are taken, when they fit the
+    state's room together, or none, when not even the smallest fits. A block in which a state fits
+    in part, or in which the floor may be reached, is opened: one task walks its loans, those
+    larger than their room left out by the scan. Balances are integer cents, so sums are exact in
+    any order.
 
-    The driver keeps only what a step decides: per state the room left and the position reached,
-    and the taken stretches (state, first, last, largest loan). Loans are never collected. The
-    ordered loans are read in windows of blocks that double in size, so a pool filled early
-    reads little of a large universe.
+    The driver holds the rooms per state, one summary row per stretch and state, those of the
+    blocks of one stretch at a time, and the runs of blocks that are taken whole; never loans.
     """
 
     def __init__(self, ordered: DataFrame, lower: float, upper: float, state_cap: float | None):
-        self.ordered = ordered
-        self.lower, self.upper, self.state_cap = lower, upper, state_cap
-        self.total = 0.0
-        self.room: dict[str, float] = {}
-        self.stretches: list[tuple[str | None, int, int, float]] = []
-
-    def _per_state(self, values: Mapping[str, float], default: float) -> Column:
-        if not values:
-            return F.lit(default)
-        pairs = [F.lit(x) for item in values.items() for x in item]
-        found = F.try_element_at(F.create_map(*pairs), F.col("state"))
-        return F.coalesce(found, F.lit(default))
-
-    def _window(self, first: int, last: int) -> DataFrame:
-        """Loans of the window; block numbers let Parquet statistics skip the other files."""
-        return self.ordered.where(
-            F.col("block").between(first // BLOCK_ROWS, (last - 1) // BLOCK_ROWS)
-            & F.col("pos").between(first, last - 1)
-        )
-
-    def _running(self, rows: DataFrame, keys: Sequence[str], first: int, last: int) -> DataFrame:
-        """Running balance by position within ``keys``.
-
-        Rows of one block are few enough for a plain window. Several blocks are totalled first,
-        one row per block, and each block's window starts from the total before it.
-        """
-        upto = (Window.unboundedPreceding, Window.currentRow)
-        if first // BLOCK_ROWS == (last - 1) // BLOCK_ROWS:
-            one = Window.partitionBy(*(keys or ["block"]))
-            return rows.withColumn(
-                "running", F.sum("upb").over(one.orderBy("pos").rowsBetween(*upto))
-            )
-        before = Window.partitionBy(*keys).orderBy("block").rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        starts = (
-            rows.groupBy("block", *keys)
-            .agg(F.sum("upb").alias("t"))
-            .select("block", *keys, F.coalesce(F.sum("t").over(before), F.lit(0.0)).alias("start"))
-        )
-        inside = Window.partitionBy("block", *keys).orderBy("pos").rowsBetween(*upto)
-        return (
-            rows.withColumn("local", F.sum("upb").over(inside))
-            .join(starts, ["block", *keys], "inner")
-            .withColumn("running", F.col("local") + F.col("start"))
-        )
-
-    def _fill_states(self, first: int, last: int, ceiling_room: float) -> list[tuple]:
-        """State-wise selection of [first, last) for loans no larger than ``ceiling_room``."""
-        taken: list[tuple] = []
-        if self.state_cap is None:
-            return [(None, first, last, ceiling_room)]
-        room = dict(self.room)
-        reached: dict[str, int] = {}
-        open_states: list[str] | None = None
-        while open_states is None or open_states:
-            allowed = F.least(self._per_state(room, self.state_cap), F.lit(ceiling_room))
-            rows = self._window(first, last).where(
-                (F.col("pos") >= self._per_state(reached, first)) & (F.col("upb") <= allowed)
-            )
-            if open_states is not None:
-                rows = rows.where(F.col("state").isin(*open_states))
-            limit = self._per_state(room, self.state_cap)
-            step = (
-                self._running(rows, ["state"], first, last)
-                .groupBy("state")
-                .agg(
-                    F.max(F.when(F.col("running") <= limit, F.col("running"))).alias("used"),
-                    F.min(F.when(F.col("running") > limit, F.col("pos"))).alias("stop"),
-                )
-                .collect()
-            )  # one row per state
-            open_states = []
-            for state, used, stop in step:
-                begin = reached.get(state, first)
-                end = last if stop is None else stop
-                cap = min(room.get(state, self.state_cap), ceiling_room)
-                taken.append((state, begin, end, cap))
-                room[state] = room.get(state, self.state_cap) - (used or 0.0)
-                if stop is not None:
-                    reached[state] = stop + 1
-                    open_states.append(state)
-        return taken
-
-    def _taken(self, first: int, last: int, stretches: Sequence[tuple]) -> DataFrame:
-        return self._select(self._window(first, last), stretches)
-
-    def _select(self, rows: DataFrame, stretches: Sequence[tuple]) -> DataFrame:
-        """Rows inside a taken stretch and no larger than its limit.
-
-        The stretches go into the plan as a literal map: state -> its list of stretches, a few
-        per state.
-        """
-        by_state: dict[str, list] = {}
-        for state, begin, end, cap in stretches:
-            by_state.setdefault(state or "*", []).append((begin, end, cap))
-        pairs: list[Column] = []
-        for state, items in by_state.items():
-            pairs.append(F.lit(state))
-            pairs.append(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(b).cast("bigint").alias("b"),
-                            F.lit(e).cast("bigint").alias("e"),
-                            F.lit(float(c)).alias("c"),
-                        )
-                        for b, e, c in items
-                    ]
-                )
-            )
-        if not pairs:
-            return rows.where(F.lit(False))
-        key = F.lit("*") if self.state_cap is None else F.col("state")
-        mine = F.try_element_at(F.create_map(*pairs), key)
-        fits = F.exists(
-            mine,
-            lambda s: (F.col("pos") >= s["b"]) & (F.col("pos") < s["e"]) & (F.col("upb") <= s["c"]),
-        )
-        return rows.where(F.coalesce(fits, F.lit(False)))
-
-    def _commit(self, stretches: Sequence[tuple], first: int, last: int) -> None:
-        """Keep the stretches up to ``last`` and take their balances off the rooms."""
-        cut = [(s, b, min(e, last), c) for s, b, e, c in stretches if b < last]
-        if not cut:
-            return
-        sums = self._taken(first, last, cut).groupBy("state").agg(F.sum("upb")).collect()
-        for state, used in sums:  # one row per state
-            self.total += used
-            if self.state_cap is not None:
-                self.room[state] = self.room.get(state, self.state_cap) - used
-        self.stretches += cut
+        self.ordered, self.spark = ordered, ordered.sparkSession
+        self.lower, self.upper = Fraction(lower) * 100, Fraction(upper) * 100
+        self.cap = None if state_cap is None else Fraction(state_cap) * 100
+        self.total, self.held = 0, {}
+        self.whole: dict[str, list[list[int]]] = {}  # state -> runs of positions taken whole
+        self.last: dict[str, int] = {}  # the node up to which a state's last run goes
+        self.opened: list[DataFrame] = []
+        self.nodes = 0
+        cells = ordered.groupBy("block", "state").agg(F.sum("cents").alias("sum"), F.min("cents").alias("least"))
+        self.cells = written(cells.withColumn("stretch", F.floor(F.col("block") / BLOCKS)), "block-sums")
+
+    def _summaries(self, rows: DataFrame, node: str) -> list[tuple[int, dict[str, tuple[int, int]]]]:
+        """(node, state -> (total, smallest)) in order."""
+        found: dict[int, dict[str, tuple[int, int]]] = {}
+        for row in rows.groupBy(node, "state").agg(F.sum("sum").alias("sum"), F.min("least").alias("least")).collect():
+            found.setdefault(row[node], {})[row["state"]] = (row["sum"], row["least"])
+        return sorted(found.items())
+
+    def _settled(self, sums: dict[str, tuple[int, int]]) -> dict[str, int] | None:
+        """The states whose loans are all taken, with their totals, if all others take none; or
+        nothing if the loans must be looked at."""
+        everything = {}
+        for state, (total, least) in sums.items():
+            held = self.held.get(state, 0)
+            if self.total + least > self.upper or self.cap is not None and held + least > self.cap:
+                continue
+            if self.cap is not None and held + total > self.cap:
+                return None
+            everything[state] = total
+        return everything if self.total + sum(everything.values()) < self.lower else None
+
+    def _take(self, taken: dict[str, int], first: int, last: int) -> None:
+        """All loans of the states in positions [first, last); runs of neighbouring nodes join."""
+        self.nodes += 1
+        for state, total in taken.items():
+            self._add(state, total)
+            if self.last.get(state) == self.nodes - 1:
+                self.whole[state][-1][1] = last
+            else:
+                self.whole.setdefault(state, []).append([first, last])
+            self.last[state] = self.nodes
+
+    def _add(self, state: str, cents: int) -> None:
+        self.total += cents
+        self.held[state] = self.held.get(state, 0) + cents
+
+    def _open(self, block: int) -> None:
+        """Decide a block's loans one by one, in one task."""
+        self.nodes += 1
+        total, held, lower, upper, cap = self.total, dict(self.held), self.lower, self.upper, self.cap
+
+        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pool, states, done = total, dict(held), False
+            for batch in batches:
+                kept = []
+                for i, (state, cents) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                    if done:
+                        break
+                    mine = states.get(state, 0) + cents
+                    if pool + cents > upper or cap is not None and mine > cap:
+                        continue
+                    kept.append(i)
+                    pool, states[state] = pool + cents, mine
+                    done = pool >= lower
+                yield batch.take(pa.array(kept, pa.int32()))
+
+        room = {s: int((self.cap if self.cap is not None else self.upper) - self.held.get(s, 0)) for s in self.held}
+        limit = F.lit(int(self.upper) - self.total)
+        if self.cap is not None:
+            limit = F.least(limit, _by_state(room, int(self.cap)))
+        rows = self.ordered.where((F.col("block") == block) & (F.col("cents") <= limit))
+        rows = rows.select("pos", "loan_id", "state", "cents").coalesce(1).sortWithinPartitions("pos")
+        chosen = written(rows.mapInArrow(walk, rows.schema), "opened-block")
+        self.opened.append(chosen)
+        for state, cents in chosen.groupBy("state").agg(F.sum("cents")).collect():  # a row per state
+            self._add(state, cents)
 
     def run(self) -> DataFrame:
-        size = self.ordered.agg(F.max("pos")).first()[0]
-        size = 0 if size is None else size + 1
-        first, width = 0, BLOCK_ROWS
-        while first < size:
-            last = min(size, first + width)
-            room = self.upper - self.total
-            stretches = self._fill_states(first, last, room)
-            running = self._running(self._taken(first, last, stretches), [], first, last)
-            reach = (
-                running.where(F.col("running") + F.lit(self.total) >= self.lower)
-                .agg(F.min_by(F.struct("pos", "running"), "pos").alias("at"))
-                .first()["at"]
-            )
-            if reach is None:
-                self._commit(stretches, first, last)
-                first, width = last, width * 2
-            elif self.total + reach["running"] <= self.upper:
-                self._commit(stretches, first, reach["pos"] + 1)
+        """loan_id of all loans taken."""
+        for stretch, sums in self._summaries(self.cells, "stretch"):
+            if self.total >= self.lower:
                 break
-            else:
-                # This loan would lift the pool over its ceiling: it is passed over, and the
-                # loans after it are decided anew with the smaller room.
-                self._commit(stretches, first, reach["pos"])
-                first = reach["pos"] + 1
-        return self._select(self.ordered, self.stretches)
+            taken = self._settled(sums)
+            if taken is not None:
+                size = BLOCKS * BLOCK_ROWS
+                self._take(taken, stretch * size, (stretch + 1) * size)
+                continue
+            for block, inner in self._summaries(self.cells.where(F.col("stretch") == stretch), "block"):
+                if self.total >= self.lower:
+                    break
+                taken = self._settled(inner)
+                if taken is None:
+                    self._open(block)
+                else:
+                    self._take(taken, block * BLOCK_ROWS, (block + 1) * BLOCK_ROWS)
+        chosen = self.ordered.where(self._in_runs()).select("loan_id")
+        for table in self.opened:
+            chosen = chosen.unionByName(table.select("loan_id"))
+        return chosen
+
+    def _in_runs(self) -> Column:
+        """Whether a loan stands in a run of its state that is taken whole."""
+        inside = F.lit(False)
+        for state, runs in sorted(self.whole.items()):
+            mine = F.lit(False)
+            for first, last in runs:
+                mine = mine | (F.col("pos") >= first) & (F.col("pos") < last)
+            inside = inside | (F.col("state") == state) & mine
+        return inside
+
+
+def _by_state(values: Mapping[str, int], default: int) -> Column:
+    if not values:
+        return F.lit(default)
+    pairs = [F.lit(x) for item in values.items() for x in item]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("state")), F.lit(default))
+
+
+def _ordered(loans: DataFrame, score: str) -> DataFrame:
+    """Loans (loan_id, score, state, upb) by score and loan: pos, increasing but with gaps, and
+    block; stored once, as the bounds of ranges come from a sample."""
+    ranged = loans.repartitionByRange(score, "loan_id").sortWithinPartitions(score, "loan_id")
+    placed = ranged.withColumn("pos", F.monotonically_increasing_id())
+    cents = F.round(F.col("upb") * 100).cast("bigint")
+    return written(
+        placed.select("pos", "loan_id", "state", cents.alias("cents"),
+                      F.floor(F.col("pos") / BLOCK_ROWS).alias("block")),
+        "ordered-candidates",
+    )
 
 
 def select_pool(
@@ -359,7 +330,8 @@ def select_pool(
     wa_limits: Mapping[str, float] = WA_LIMITS,
     concentration: Mapping[str, float] = CONCENTRATION_LIMITS,
 ) -> DataFrame:
-    """Loans chosen greedily by score (ties by loan id) under the pool ceiling and state caps."""
+    """Loans chosen greedily by score (ties by loan id) under the pool ceiling and state caps.
+    Balances count in whole cents."""
     if score not in candidates.columns:
         candidates = candidates.withColumn(score, F.lit(0.0))
     lower = target_upb * (1.0 - tolerance_pct / 100.0)
@@ -374,17 +346,8 @@ def select_pool(
         .select("loan_id", F.col(score).alias("score"), state.alias("state"),
                 F.col("current_upb").cast("double").alias("upb"))
     )
-    ranked = running_sums(loans, ["score", "loan_id"], {"__rank": F.lit(1)}, label="candidates")
-    pos = (F.col("__rank") - 1).cast("bigint")
-    ordered = written(
-        ranked.select(
-            "loan_id", "state", "upb", pos.alias("pos"),
-            F.floor(pos / BLOCK_ROWS).alias("block"),
-        ),
-        "ordered-candidates",
-    )
-    chosen = _Greedy(ordered, lower, upper, state_cap).run()
-    return candidates.join(chosen.select("loan_id"), "loan_id", "left_semi")
+    chosen = _Walk(_ordered(loans, "score"), lower, upper, state_cap).run()
+    return candidates.join(chosen, "loan_id", "left_semi")
 
 
 # --- constraints -------------------------------------------------------------------------

@@ -49,6 +49,35 @@ def test_selection_equals_the_sequential_rule(spark, monkeypatch, seed):
     assert {r["loan_id"] for r in got.collect()} == sequential(rows, low, high, low * pct / 100)
 
 
+@pytest.mark.parametrize("seed", range(8, 14))
+def test_small_stretches_of_cents(spark, monkeypatch, seed):
+    """Many blocks and stretches, balances in cents, few and many states."""
+    rng = random.Random(seed)
+    monkeypatch.setattr(P, "BLOCK_ROWS", rng.choice([3, 8]))
+    monkeypatch.setattr(P, "BLOCKS", rng.choice([2, 5]))
+    rows = [
+        (f"L{i:04d}", rng.randrange(1, 90_000) / 100, rng.random(), rng.choice("ABC"), 800, 50.0, 10.0, "P")
+        for i in range(150)
+    ]
+    target, pct = sum(r[1] for r in rows) * rng.choice([0.2, 0.7, 1.5]), rng.choice([15.0, 40.0, 100.0])
+    low, high = target * 0.99, target * 1.01
+    got = P.select_pool(spark.createDataFrame(rows, DDL), target, 1.0, max_state_pct=pct)
+    assert {r["loan_id"] for r in got.collect()} == sequential(rows, low, high, low * pct / 100)
+
+
+def test_only_binding_blocks_are_opened(spark, monkeypatch):
+    """Without state limits all blocks but the last needed one are taken by their sums."""
+    monkeypatch.setattr(P, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(P, "BLOCKS", 4)
+    rows = [(f"L{i:04d}", i / 1000.0, "S", 100.0) for i in range(400)]
+    loans = spark.createDataFrame(rows, "loan_id string, score double, state string, upb double").coalesce(1)
+    walk = P._Walk(P._ordered(loans, "score"), 25_000.0, 25_100.0, None)
+    assert {r[0] for r in walk.run().collect()} == {f"L{i:04d}" for i in range(250)}
+    assert len(walk.opened) == 1 and sum(map(len, walk.whole.values())) == 1
+    capped = P._Walk(P._ordered(loans, "score"), 25_000.0, 25_100.0, 7_050.0)
+    assert capped.run().count() == 70 and len(capped.opened) <= 1
+
+
 def test_state_cap_and_floor(spark):
     rows = [(f"L{i:03d}", 100_000.0, 0.0, f"S{i % 5}", 800, 50.0, 10.0, "P") for i in range(150)]
     pool = P.select_pool(spark.createDataFrame(rows, DDL), 4_000_000, 0.5, max_state_pct=25.0)
