@@ -19,15 +19,32 @@ LOSS_OR_NULL = f"case when dti is null then null else {LOSS} end"
 RULES = P.Eligibility(min_remaining_term=330, vintage_min=1998, allowed_property_types=("SF", "CO"))
 
 
-def _candidates(c: Context) -> DataFrame:
-    """Eligible loans of the latest period with fixed scores attached."""
-    scores = c.latest.select(
+def _scores(c: Context) -> DataFrame:
+    """Fixed scores of the latest period."""
+    return c.latest.select(
         "loan_id",
         F.expr(CREDIT).alias("credit_event_score"),
         F.expr(PREPAY).alias("prepayment_score"),
         F.expr(LOSS_OR_NULL).alias("loss_severity_score"),
     )
-    return P.attach_scores(P.eligible(c.latest), scores)
+
+
+def _candidates(c: Context) -> DataFrame:
+    """Eligible loans of the latest period with fixed scores attached."""
+    return P.attach_scores(P.eligible(c.latest), _scores(c))
+
+
+def _job(c: Context) -> DataFrame:
+    """The whole pool job: candidates and pool, counted."""
+    stages = P.build_pool(c.latest, _scores(c), target_upb=TARGET_UPB)
+    counted = [
+        rows.groupBy(F.lit(name).alias("stage")).agg(
+            F.count(F.lit(1)).alias("loans"), F.sum("current_upb").alias("current_upb"),
+            F.avg("composite_score").alias("mean_score"),
+        )
+        for name, rows in zip(("candidates", "pool"), stages)
+    ]
+    return counted[0].unionByName(counted[1])
 
 
 def _ranked(c: Context) -> DataFrame:
@@ -221,6 +238,12 @@ def register(catalog: Catalog) -> None:
             _walk(tolerance),
             recursive=True,
         )
+    counted = "count(*) AS loans, sum(current_upb) AS current_upb, avg(composite_score) AS mean_score"
+    add(
+        "pool_job", _job,
+        f"SELECT 'candidates' AS stage, {counted} FROM ranked UNION ALL SELECT 'pool', {counted} FROM pool",
+        "current_upb mean_score", _walk(0.5), recursive=True,
+    )
     add("constraint_check", lambda c: P.check_constraints(_pool(c), _LIMITS),
         _constraints("pool"), "target actual", _walk(0.5), {"actual": 4}, recursive=True)
     add(
