@@ -134,6 +134,19 @@ THINNED = f"""
 """
 
 
+# What the panel offers a model: its numbers and flags, without facts known after the event.
+PANEL_FEATURES = (
+    "current_upb", "deferred_upb", "interest_bearing_upb", "current_interest_rate", "loan_age",
+    "remaining_term", "delinquency_months", "modification_flag", "step_modification_flag",
+    "deferred_payment_plan", "estimated_ltv", "delinquency_due_to_disaster", "original_upb",
+    "original_interest_rate", "original_loan_term", "original_ltv", "original_cltv", "fico", "dti",
+    "mortgage_insurance_pct", "num_units", "num_borrowers", "first_time_homebuyer",
+    "interest_only", "super_conforming", "prepayment_penalty", "origination_year",
+    "origination_quarter", "reporting_month", "upb_ratio", "is_seriously_delinquent",
+    "reporting_year",
+)
+
+
 def register(catalog: Catalog) -> None:
     add = catalog.add
     coded = ["loan_purpose", "occupancy", "property_type", "channel"]
@@ -166,7 +179,12 @@ def register(catalog: Catalog) -> None:
         lambda c: X.snapshot_at(c.panel, SNAPSHOT_AT, history=c.history).select(*OUT),
         _scored("panel"),
         "original_ltv current_upb",
-        _around(f"SELECT DATE '{SNAPSHOT_AT}' AS t"),
+        # Rows outside the year before and the year after serve neither history nor labels.
+        "near AS (SELECT loan_id, reporting_period, delinquency_months, modification_flag, "
+        "is_credit_event, is_seriously_delinquent, is_voluntary_prepayment FROM panel "
+        f"WHERE reporting_period BETWEEN DATE '{SNAPSHOT_AT}' - INTERVAL 12 MONTH AND "
+        f"DATE '{SNAPSHOT_AT}' + INTERVAL 12 MONTH), "
+        + _around(f"SELECT DATE '{SNAPSHOT_AT}' AS t", "near"),
     )
     add(
         "scoring_dates",
@@ -221,10 +239,22 @@ def register(catalog: Catalog) -> None:
              loan_id || '|' || CAST(scoring_date AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 10""",
         ctes=SNAPSHOTS,
     )
+    numbers = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in PANEL_FEATURES)
+    add(
+        "feature_profile",
+        lambda c: X.feature_profile(X.model_matrix(c.panel)),
+        f"""SELECT feature, count(*) AS rows, count(value) AS filled, avg(value) AS mean,
+              min(value) AS lowest, max(value) AS highest
+            FROM (SELECT {numbers} FROM panel)
+              UNPIVOT INCLUDE NULLS (value FOR feature IN ({', '.join(PANEL_FEATURES)})) GROUP BY 1""",
+        "mean lowest highest",
+    )
     note = "Vintages to 1997 train, 1998-1999 validate, later ones test."
     add(
         "leakage_audit",
-        lambda c: X.leakage_audit(c.snapshots, split_note=note),
+        lambda c: X.leakage_audit(
+            X.temporal_split(c.snapshots, TRAIN_END, VALIDATION_END), split_note=note
+        ),
         f"""SELECT unnest([
               {{'check_name': 'forbidden_feature_name_scan', 'severity': 'FAIL',
                 'status': 'PASS', 'metric': 0e0,
@@ -237,12 +267,18 @@ def register(catalog: Catalog) -> None:
                 'detail': 'Within twelve months of scoring: ' || format('{{:,}}', ce)
                   || ' credit events, ' || format('{{:,}}', pp)
                   || ' voluntary prepayments.'}},
-              {{'check_name': 'temporal_split_design', 'severity': 'FAIL', 'status': 'PASS',
-                'metric': 0e0, 'detail': '{note}'}}], recursive := true)
+              {{'check_name': 'temporal_split_design', 'severity': 'FAIL',
+                'status': if(crossed = 0, 'PASS', 'FAIL'),
+                'metric': CAST(crossed AS DOUBLE), 'detail': '{note}'}}], recursive := true)
             FROM (SELECT count(*) AS n, count(*) FILTER (WHERE is_terminal) AS bad,
               CAST(sum(credit_event_12m) AS BIGINT) AS ce,
-              CAST(sum(prepayment_12m) AS BIGINT) AS pp FROM snaps)""",
-        ctes=SNAPSHOTS,
+              CAST(sum(prepayment_12m) AS BIGINT) AS pp,
+              (SELECT count(*) FROM parts a JOIN parts b ON a.place < b.place AND a.hi >= b.lo)
+                AS crossed FROM snaps)""",
+        ctes=f"""{SNAPSHOTS}, parts AS (
+          SELECT CASE WHEN origination_year <= {TRAIN_END} THEN 1
+              WHEN origination_year <= {VALIDATION_END} THEN 2 ELSE 3 END AS place,
+            min(origination_year) AS lo, max(origination_year) AS hi FROM snaps GROUP BY 1)""",
     )
     cohorts = f"""cohorts AS (
         SELECT origination_year, scoring_date, delinquency_months, max_dq_last_12m,

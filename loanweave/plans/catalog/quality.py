@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -149,6 +151,23 @@ def _quarantined(c: Context) -> DataFrame:
     return origination.unionByName(performance).drop("run_id", "reason", "timestamp")
 
 
+def _audited(c: Context) -> DataFrame:
+    """The audit tables after two runs, the second of which was repeated on repaired loans."""
+    tables = [f"audit_{uuid.uuid4().hex}" for _ in range(2)]
+    damaged = _damaged(c.origination, "origination")
+    for run, rows in (("first", damaged), ("second", damaged), ("second", c.origination)):
+        Q.persist_validation(
+            Q.validate(rows, Q.ORIGINATION_RULES, run), Q.quarantine(rows, Q.ORIGINATION_RULES, run),
+            *tables, replace=True,
+        )
+    results, records = (c.spark.table(t) for t in tables)
+    held = records.groupBy("run_id", "rule_id").agg(F.count(F.lit(1)).alias("records"))
+    return results.join(held, ["run_id", "rule_id"], "left").select(
+        "run_id", "rule_id", "status", "rows_checked", "rows_failed",
+        F.coalesce("records", F.lit(0)).alias("records"),
+    )
+
+
 def register(catalog: Catalog) -> None:
     add = catalog.add
     add(
@@ -196,6 +215,18 @@ def register(catalog: Catalog) -> None:
               {_records('badp', 'loan_performance', PERFORMANCE, 'reporting_period')})""",
         ctes=BAD,
     )
+    runs = (("first", "bado"), ("second", "so"))
+    add(
+        "audit_roundtrip",
+        _audited,
+        " UNION ALL ".join(
+            f"""SELECT '{run}' AS run_id, rule_id, status, rows_checked, rows_failed,
+              if(severity = 'WARN', 0, rows_failed) AS records
+            FROM ({_results(source, 'loan_origination', ORIGINATION)})"""
+            for run, source in runs
+        ),
+        ctes=BAD,
+    )
     builds = {
         "recon_counts": lambda c: Q.reconcile_counts(_half(c), _half_panel(c)),
         "recon_orphans": lambda c: Q.reconcile_orphans(c.performance, _half(c)),

@@ -124,3 +124,28 @@ def test_persist_appends(spark):
     assert spark.table("dq_results_t").count() == 18 and spark.table("quarantine_t").count() == 2
     for name in ("dq_results_t", "quarantine_t"):
         spark.sql(f"DROP TABLE {name}")
+
+
+def test_repeated_run_replaces_its_own_rows_only(spark):
+    bad, good = origination(spark, loan_id=None), origination(spark)
+
+    def persist(rows, run):
+        results = Q.validate(rows, Q.ORIGINATION_RULES, run)
+        Q.persist_validation(
+            results, Q.quarantine(rows, Q.ORIGINATION_RULES, run), "dq_results_r", "quarantine_r",
+            replace=True,
+        )
+
+    def held(table):
+        return {r["run_id"]: r["count"] for r in spark.table(table).groupBy("run_id").count().collect()}
+
+    for rows, run in ((bad, "o'a"), (bad, "b"), (bad, "b")):
+        persist(rows, run)
+    assert held("dq_results_r") == {"o'a": 9, "b": 9}
+    assert held("quarantine_r") == {"o'a": 1, "b": 1}
+    persist(good, "o'a")
+    assert held("dq_results_r") == {"o'a": 9, "b": 9} and held("quarantine_r") == {"b": 1}
+    assert spark.table("dq_results_r").where("run_id = 'b' AND status = 'FAIL'").count() == 1
+    assert spark.table("dq_results_r").where("run_id <> 'b' AND status = 'FAIL'").count() == 0
+    for name in ("dq_results_r", "quarantine_r"):
+        spark.sql(f"DROP TABLE {name}")
