@@ -36,6 +36,7 @@ PIECE = 1 << 18  # characters of a long text handled at once
 KEPT_CHARS = 12_000_000  # characters of distinct pieces kept per worker; beyond it the cache starts anew
 KEPT_PAIRS = 500_000
 LONG_WORD = 256  # characters; longer words are counted but not kept
+SPACE = chr(LETTERS[ord(" ")])  # the letter that stands for a space
 #: A place that is a word boundary in any text: a single space between two other characters.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -72,16 +73,17 @@ class PrefixCounter:
         vocabulary = self.library.get_vocab(with_added_tokens=False)
         self.name = [""] * (max(vocabulary.values()) + 1)
         # A tree of the tokens' letters: letter -> [id of the token that ends here or -1, subtree].
+        leaf: dict[str, list] = {}
         self.tree: dict[str, list] = {}
         for token, number in vocabulary.items():
             self.name[number] = token
             node = self.tree
             for letter in token[:-1]:
-                entry = node.setdefault(letter, [-1, None])
-                if entry[1] is None:
+                entry = node.setdefault(letter, [-1, leaf])
+                if entry[1] is leaf:
                     entry[1] = {}
                 node = entry[1]
-            node.setdefault(token[-1], [-1, None])[0] = number
+            node.setdefault(token[-1], [-1, leaf])[0] = number
         self.fitting: dict[int, dict[int, bool]] = {}
         self.known_pairs = 0
         self._start_anew()
@@ -92,6 +94,7 @@ class PrefixCounter:
         self.begin, self.size = array("q"), array("q")  # size -1: not a safe piece
         self.pool = array("h")
         self.words: dict[str, array] = {}
+        self.lettered: dict[str, array] = {}
 
     def _fits(self, first: int, second: int) -> bool:
         """Whether the merges, run on both tokens together, give these two again."""
@@ -106,17 +109,18 @@ class PrefixCounter:
 
     def letter_counts(self, word: str) -> Sequence[int]:
         """Counts of all prefixes of one word of the pattern, written in byte letters."""
-        n, tree, fitting = len(word), self.tree, self.fitting
+        n, tree, fitting, unseen = len(word), self.tree, self.fitting, {}
         if n > LONG_WORD:
             last, count = array("i", [-1]) * (n + 1), array("i", [0]) * (n + 1)
         else:
             last, count = [-1] * (n + 1), [0] * (n + 1)
         for start in range(n):
-            before, following = last[start], count[start] + 1
-            known = fitting.get(before, {})
-            node, end = tree, start
-            while end < n and node is not None and (entry := node.get(word[end])) is not None:
-                end += 1
+            before, following, node = last[start], count[start] + 1, tree
+            known = fitting.get(before, unseen)
+            for end, letter in enumerate(word[start:] if start else word, start + 1):
+                entry = node.get(letter)
+                if entry is None:
+                    break
                 token, node = entry
                 if token >= 0 and not count[end]:
                     good = before < 0 or known.get(token)
@@ -169,14 +173,34 @@ class PrefixCounter:
         """Steps of Latin letters with at most one space before them: one word of the pattern."""
         steps = self.words.get(word)
         if steps is None:
-            raw = word.encode()
-            counts = self.letter_counts(raw.decode("latin-1").translate(LETTERS))
-            if len(raw) != len(word):
-                counts = [n for n, byte in zip(counts, raw[1:] + b"a") if byte & 0xC0 != 0x80]
-            steps = self.words[word] = array("h", map(sub, counts, [0, *counts]))
+            if word.isascii():
+                letters = word.replace(" ", SPACE)
+            else:
+                letters = word.encode().decode("latin-1").translate(LETTERS)
+            steps = self.words[word] = self._steps(letters, word)
             self.kept += len(word) + 8
         return steps
 
+    def _steps(self, letters: str, word: str) -> array:
+        """Steps per character of one word of the pattern, given in byte letters too."""
+        counts = self.letter_counts(letters)
+        if len(letters) != len(word):  # characters of several bytes: their last one counts
+            after = word.encode()[1:] + b"a"
+            counts = [n for n, byte in zip(counts, after) if byte & 0xC0 != 0x80]
+        return array("h", map(sub, counts, [0, *counts]))
+
+    def _cut(self, text: str) -> array:
+        """Steps of a text without white space but for one space before it: its words, each found
+        once, one after another."""
+        found = array("h")
+        for letters, (begin, end) in self.words_of(text):
+            steps = self.lettered.get(letters)
+            if steps is None:
+                steps = self.lettered[letters] = self._steps(letters, text[begin:end])
+                self.kept += len(letters) + 8
+            found.extend(steps)
+        return found
+
     def _numbered(self, part: str) -> int:
         """Number of a cut; ``part`` follows a space unless it begins with a zero character."""
         number = self.number[part] = len(self.size)
@@ -186,13 +210,16 @@ class PrefixCounter:
         body = part[1:] if first else part
         core = body[:-1] if body[-1:] in CLOSING and body[-2:-1].isalpha() else body
         self.kept += len(part) + 8
-        if core.isalpha() and max(core) < "\u0250":
+        if core.isalpha() and (core.isascii() or max(core) < "\u0250"):
             self.pool.extend(self._word(core if first else " " + core))
             if len(core) < len(body):
                 self.pool.append(1)
         elif part == "\n" or body and not body[0].isspace() and not body[-1].isspace():
-            steps = self._plain(part if part == "\n" else body if first else " " + body)
-            self.pool.frombytes(steps.astype(np.int16).tobytes())  # at most LONG_WORD characters
+            if len(body.split()) == 1:
+                self.pool.extend(self._cut(body if first else " " + body))
+            else:
+                steps = self._plain(part if part == "\n" else body if first else " " + body)
+                self.pool.frombytes(steps.astype(np.int16).tobytes())  # at most LONG_WORD characters
         else:
             self.size.append(-1)
             return number
