@@ -36,6 +36,9 @@ PIECE = 1 << 18  # characters of a long text handled at once
 KEPT_CHARS = 12_000_000  # characters of distinct pieces kept per worker; beyond it the cache starts anew
 KEPT_PAIRS = 500_000
 LONG_WORD = 256  # characters; longer words are counted but not kept
+SHORT_WORD = 48  # bytes; words up to this length are counted many at once
+WORDS_PER_CALL = 8192
+PAIR_SLOTS = 1 << 20  # a pair of tokens has one slot; a later pair may take it over
 SPACE = chr(LETTERS[ord(" ")])  # the letter that stands for a space
 #: A place that is a word boundary in any text: a single space between two other characters.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -84,6 +87,9 @@ class PrefixCounter:
                     entry[1] = {}
                 node = entry[1]
             node.setdefault(token[-1], [-1, leaf])[0] = number
+        self._flatten()
+        self.slot_key = np.full(PAIR_SLOTS, -1, np.int64)
+        self.slot_good = np.zeros(PAIR_SLOTS, bool)
         self.fitting: dict[int, dict[int, bool]] = {}
         self.known_pairs = 0
         self._start_anew()
@@ -96,10 +102,103 @@ class PrefixCounter:
         self.words: dict[str, array] = {}
         self.lettered: dict[str, array] = {}
 
-    def _fits(self, first: int, second: int) -> bool:
+    def _flatten(self) -> None:
+        """The tree as tables over (inner node, byte): the token that ends there, the next node."""
+        byte_of = {chr(letter): byte for byte, letter in LETTERS.items()}
+        inner, cells = [self.tree], []
+        for number, node in enumerate(inner):  # grows while it is walked
+            for letter, (token, below) in node.items():
+                cells.append((number * 256 + byte_of[letter], token, len(inner) if below else -1))
+                if below:
+                    inner.append(below)
+        place, token, below = np.array(cells, np.int64).T
+        self.token_at = np.full(256 * len(inner), -1, np.int32)
+        self.node_at = np.full(256 * len(inner), -1, np.int32)
+        self.token_at[place], self.node_at[place] = token, below
+
+    def _merged(self, first: int, second: int) -> bool:
         """Whether the merges, run on both tokens together, give these two again."""
         found = self.tokenize(self.name[first] + self.name[second])
-        good = len(found) == 2 and found[0].id == first and found[1].id == second
+        return len(found) == 2 and found[0].id == first and found[1].id == second
+
+    def _fit_all(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """``_merged`` of many pairs; a negative first token fits any."""
+        key = first.astype(np.int64) << 32 | second
+        slot = (key * 0x1E3779B97F4A7C15 >> 40) % PAIR_SLOTS
+        good = self.slot_good[slot]
+        unknown = np.flatnonzero((self.slot_key[slot] != key) & (first >= 0))
+        if len(unknown):
+            fresh, place = np.unique(key[unknown], return_inverse=True)
+            value = np.array([self._merged(k >> 32, k & 0xFFFFFFFF) for k in fresh.tolist()], bool)
+            good[unknown] = value[place]
+            # Only one of two pairs that share a slot may stay, with its own value.
+            taken, which = np.unique(slot[unknown], return_index=True)
+            self.slot_key[taken] = key[unknown[which]]
+            self.slot_good[taken] = good[unknown[which]]
+        return good | (first < 0)
+
+    def counts_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Counts at prefixes of 0, 1, ... bytes of many short words, a row each, all of them found
+        place by place; and which word each row belongs to."""
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-length, kind="stable")  # the words that reach a place come first
+        size, width = length[order], int(length.max(initial=0))
+        rows = np.zeros((len(words), width), np.uint8)
+        rows[np.arange(width) < size[:, None]] = np.frombuffer(
+            b"".join([words[i] for i in order]), np.uint8)
+        last = np.full((len(words), width + 1), -1, np.int32)
+        count = np.zeros((len(words), width + 1), np.int16)
+        for start in range(width):
+            at = np.arange(np.searchsorted(-size, -start))  # longer than start
+            node = np.zeros(len(at), np.int64)
+            for end in range(start + 1, width + 1):
+                cell = node * 256 + rows[at, end - 1]
+                token = self.token_at[cell]
+                open_ = np.flatnonzero((token >= 0) & (count[at, end] == 0))
+                word, token = at[open_], token[open_]
+                good = self._fit_all(last[word, start], token)
+                word, token = word[good], token[good]
+                last[word, end], count[word, end] = token, count[word, start] + 1
+                node = self.node_at[cell]
+                going = (node >= 0) & (size[at] > end)
+                at, node = at[going], node[going].astype(np.int64)
+                if not len(at):
+                    break
+        return count, order
+
+    def learn(self, texts: Sequence[str]) -> None:
+        """Find the steps of the texts' new plain words, many at once."""
+        if self.kept > KEPT_CHARS:
+            self._start_anew()
+        fresh: set[str] = set()
+        for text in texts:
+            for piece in pieces(text):
+                for part in set(self._parts(piece)).difference(self.number):
+                    first, _, core = self._core(part)
+                    word = core if first else " " + core
+                    if _plain_letters(core) and word not in self.words and len(word) <= SHORT_WORD // 2:
+                        fresh.add(word)
+                if len(fresh) >= WORDS_PER_CALL:
+                    self._learn_words(fresh)
+                    fresh = set()
+        if fresh:
+            self._learn_words(fresh)
+
+    def _learn_words(self, fresh: set[str]) -> None:
+        words = list(fresh)
+        raw = [w.encode() for w in words]
+        counts, order = self.counts_of(raw)
+        steps, wide = np.diff(counts, axis=1).tobytes(), 2 * (counts.shape[1] - 1)
+        for row, i in enumerate(order.tolist()):
+            word, data = words[i], raw[i]
+            if len(data) == len(word):
+                self.words[word] = array("h", steps[row * wide : row * wide + 2 * len(data)])
+            else:  # characters of several bytes: their last one counts
+                self.words[word] = _per_character(counts[row, 1 : len(data) + 1].tolist(), data)
+            self.kept += len(word) + 8
+
+    def _fits(self, first: int, second: int) -> bool:
+        good = self._merged(first, second)
         if self.known_pairs >= KEPT_PAIRS:
             self.fitting.clear()
             self.known_pairs = 0
@@ -183,11 +282,7 @@ class PrefixCounter:
 
     def _steps(self, letters: str, word: str) -> array:
         """Steps per character of one word of the pattern, given in byte letters too."""
-        counts = self.letter_counts(letters)
-        if len(letters) != len(word):  # characters of several bytes: their last one counts
-            after = word.encode()[1:] + b"a"
-            counts = [n for n, byte in zip(counts, after) if byte & 0xC0 != 0x80]
-        return array("h", map(sub, counts, [0, *counts]))
+        return _per_character(self.letter_counts(letters), word.encode())
 
     def _cut(self, text: str) -> array:
         """Steps of a text without white space but for one space before it: its words, each found
@@ -201,16 +296,30 @@ class PrefixCounter:
             found.extend(steps)
         return found
 
+    @staticmethod
+    def _core(part: str) -> tuple[bool, str, str]:
+        """Whether a cut stands without a space, its text, and that without a closing mark."""
+        first = part[:1] == "\0"
+        body = part[1:] if first else part
+        return first, body, body[:-1] if body[-1:] in CLOSING and body[-2:-1].isalpha() else body
+
+    @staticmethod
+    def _parts(text: str) -> list[str]:
+        """The cuts of a text; those that follow no space begin with a zero character."""
+        parts = text.replace("\n", " \n \0").split(" ")
+        if text[:1] == " ":
+            return parts[1:]
+        parts[0] = "\0" + parts[0]
+        return parts
+
     def _numbered(self, part: str) -> int:
         """Number of a cut; ``part`` follows a space unless it begins with a zero character."""
         number = self.number[part] = len(self.size)
         begin = len(self.pool)
         self.begin.append(begin)
-        first = part[:1] == "\0"
-        body = part[1:] if first else part
-        core = body[:-1] if body[-1:] in CLOSING and body[-2:-1].isalpha() else body
+        first, body, core = self._core(part)
         self.kept += len(part) + 8
-        if core.isalpha() and (core.isascii() or max(core) < "\u0250"):
+        if _plain_letters(core):
             self.pool.extend(self._word(core if first else " " + core))
             if len(core) < len(body):
                 self.pool.append(1)
@@ -230,12 +339,7 @@ class PrefixCounter:
         """Steps of a text that holds no special string, from its cuts where these are safe."""
         if "\0" in text:  # it marks cuts without a space
             return self._plain(text)
-        spaced = text[:1] == " "
-        parts = text.replace("\n", " \n \0").split(" ")
-        if spaced:
-            parts = parts[1:]
-        else:
-            parts[0] = "\0" + parts[0]
+        parts = self._parts(text)
         if max(map(len, parts)) > LONG_WORD:
             return self._plain(text)
         if self.kept > KEPT_CHARS:
@@ -260,6 +364,17 @@ class PrefixCounter:
         return found[0] if len(found) == 1 else np.concatenate(found)
 
 
+def _per_character(counts: Sequence[int], data: bytes) -> array:
+    """Steps per character from counts per byte: a character's last byte counts."""
+    counts = [n for n, byte in zip(counts, data[1:] + b"a") if byte & 0xC0 != 0x80]
+    return array("h", map(sub, counts, [0, *counts]))
+
+
+def _plain_letters(word: str) -> bool:
+    """Latin letters alone, which are one word of the pattern."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
+
+
 @lru_cache(maxsize=1)
 def counter(path: str) -> PrefixCounter:
     """The worker's counter; kept between tasks of one Python worker."""
@@ -297,11 +412,13 @@ def prefix_table(documents: DataFrame, vocabulary: str | None = None) -> DataFra
     schema, path = arrow_schema(PREFIXES), vocabulary or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        steps_of = counter(path).steps
+        words = counter(path)
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_PER_CALL):
                 rows = batch.slice(at, TEXTS_PER_CALL)
-                found = [steps_of(t) for t in rows.column(1).to_pylist()]
+                texts = rows.column(1).to_pylist()
+                words.learn(texts)
+                found = [words.steps(t) for t in texts]
                 packed = [pack(s) for s in found]
                 yield record_batch(
                     [rows.column(0), rows.column(2), [len(s) for s in found],

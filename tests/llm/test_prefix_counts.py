@@ -73,3 +73,20 @@ def test_table_and_answers(spark):
 
 def test_empty_table(spark):
     assert pc.answers(pc.prefix_table(cases.empty(spark)), [5]).collect() == []
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("abtheingoré ß,.\n'Ü", max_size=60), max_size=6))
+def test_words_learned_together_have_the_counts_of_single_ones(texts):
+    together, alone = pc.PrefixCounter.__new__(pc.PrefixCounter), COUNTER
+    together.__dict__.update(COUNTER.__dict__)
+    together._start_anew()
+    together.learn(texts)
+    alone._start_anew()
+    for text in texts:
+        assert together.steps(text).tolist() == alone.steps(text).tolist()
+        assert np.cumsum([0, *together.steps(text)]).tolist() == counts_of(text)
+    counts, order = together.counts_of([b" there", b"a", b" nothingness"])
+    assert [counts[list(order).index(i)][n] for i, n in ((0, 6), (1, 1), (2, 12))] == [
+        counts_of(w)[-1] for w in (" there", "a", " nothingness")
+    ]
