@@ -16,7 +16,7 @@ from loanweave.functions.columns import (
     share_pct,
     weighted_mean,
 )
-from loanweave.operators.ordered import over_history
+from loanweave.operators.ordered import narrowed, over_history
 from loanweave.operators.performance import row_shares
 from loanweave.operators.silver import latest_period
 
@@ -59,8 +59,8 @@ def cpr_history(panel: DataFrame, history: int | None = None, weight: str = "cur
     only. ``weight='current'`` weighs by the balance after the month, which is zero for a full
     payoff; ``weight='prior'`` weighs by the balance before it.
     """
-    kept = panel.where(~F.col("is_terminal") | F.col("is_voluntary_prepayment")).select(
-        "loan_id", "reporting_period", "origination_year", "loan_age", "current_upb",
+    kept = narrowed(
+        panel.where(~F.col("is_terminal") | F.col("is_voluntary_prepayment")), "loan_id", "reporting_period", "origination_year", "loan_age", "current_upb",
         "current_interest_rate", "remaining_term", "original_ltv", "fico", "loan_purpose",
         "property_state", "occupancy", "is_voluntary_prepayment", "delinquency_state",
     )
@@ -116,8 +116,9 @@ def cpr_history(panel: DataFrame, history: int | None = None, weight: str = "cur
 
 def roll_rates_by_vintage(panel: DataFrame, history: int | None = None) -> DataFrame:
     """Monthly state transitions by vintage; unknown states are removed before the step."""
-    known = panel.where(F.col("delinquency_state") != "UNKNOWN").select(
-        "loan_id", "reporting_period", "origination_year", "delinquency_state", "current_upb"
+    known = narrowed(
+        panel.where(F.col("delinquency_state") != "UNKNOWN"),
+        "loan_id", "reporting_period", "origination_year", "delinquency_state", "current_upb",
     )
     stepped = over_history(
         known,

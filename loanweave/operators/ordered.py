@@ -17,6 +17,8 @@ from loanweave.storage import written
 # Rows of one key that a plain per-key window may take. Longer histories use blocks.
 MAX_HISTORY = 50_000
 BLOCK_ROWS = 4_096
+# Column of a stored table that marks the rows of such longer histories.
+LONG = "_long_history"
 
 
 def ranges(df: DataFrame) -> int:
@@ -124,6 +126,22 @@ def longest_history(df: DataFrame, key: str) -> int:
     return int(row[0] or 0)
 
 
+def narrowed(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """``columns`` of ``df``, and the mark of long histories if the table carries it."""
+    return df.select(*columns, *[c for c in df.columns if c == LONG])
+
+
+def _tie(df: DataFrame, *keys: str) -> list[Column]:
+    """What orders rows of equal keys: a hash of all other columns, so that only equal rows tie."""
+    others = [
+        f.name
+        for f in df.schema.fields
+        if f.name not in (*keys, LONG)
+        and not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))
+    ]
+    return [F.xxhash64(*others)] if others else []
+
+
 def over_history(
     df: DataFrame,
     key: str,
@@ -135,18 +153,32 @@ def over_history(
 ) -> DataFrame:
     """Add window columns that look at most ``back`` rows back and ``ahead`` rows ahead per key.
 
-    ``build`` receives the ordered window and returns the columns. ``history`` is the row count
-    of the largest key, measured when not given. Up to ``MAX_HISTORY`` it is one ordinary window
-    per key (one shuffle, none on a table bucketed by ``key``); beyond that the history is cut
-    into blocks which carry copies of their neighbours' edge rows, so a key holding any share
-    of the table is spread over many tasks.
+    ``build`` receives the ordered window and returns the columns; equal values of ``order`` are
+    ordered by the other columns of ``df``. ``history`` is the row count of the largest key,
+    measured when not given. Keys of up to ``MAX_HISTORY`` rows use one ordinary window per key
+    (one shuffle, none on a table bucketed by ``key``). Only longer ones are cut into blocks which
+    carry copies of their neighbours' edge rows, so a key holding any share of the table is spread
+    over many tasks; the results are the same. A boolean column ``LONG`` says which rows belong to
+    such keys; where ``df`` has none, the keys are counted. It is not returned.
     """
+    columns = [c for c in df.columns if c != LONG]
     if history is None:
         history = longest_history(df, key)
+    in_order = [F.col(order), *_tie(df, key, order)]
+    plain = Window.partitionBy(key).orderBy(*in_order)
     if history <= MAX_HISTORY:
-        return df.withColumns(build(Window.partitionBy(key).orderBy(order)))
+        return df.select(*columns).withColumns(build(plain))
+    if LONG in df.columns:
+        short, long = df.where(~F.col(LONG)), df.where(F.col(LONG))
+    else:
+        counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        keys = written(counted.where(F.col("n") > MAX_HISTORY).select(F.col(key).alias("__key")), "keys")
+        same = F.col(key).eqNullSafe(F.col("__key"))
+        short, long = df.join(keys, same, "left_anti"), df.join(keys, same, "left_semi")
     block = max(BLOCK_ROWS, back, ahead)
-    ranked = running_sums(df, [order], {"__pos": F.lit(1)}, within=[key], label="history")
+    ranked = running_sums(
+        long.select(*columns), in_order, {"__pos": F.lit(1)}, within=[key], label="history"
+    )
     place = F.col("__pos") - 1
     home = F.floor(place / block)
     within_block = place % block
@@ -159,4 +191,6 @@ def over_history(
     )
     spread = ranked.withColumn("__home", home).withColumn("__block", F.explode(homes))
     built = spread.withColumns(build(Window.partitionBy(key, "__block").orderBy("__pos")))
-    return built.where(F.col("__block") == F.col("__home")).drop("__pos", "__home", "__block")
+    return short.select(*columns).withColumns(build(plain)).unionByName(
+        built.where(F.col("__block") == F.col("__home")).drop("__pos", "__home", "__block")
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loanweave.fixed import DELINQUENCY_STATES, ROLL_RATES
 from loanweave.functions.columns import annualised_pct, ratio, scheduled_principal, total
-from loanweave.operators.ordered import exact_quantiles, over_history
+from loanweave.operators.ordered import exact_quantiles, narrowed, over_history
 
 # --- prepayment --------------------------------------------------------------------------
 
@@ -34,7 +34,7 @@ def compute_smm(panel: DataFrame, history: int | None = None) -> DataFrame:
         raise ValueError(f"panel lacks columns {missing}")
     used = [c for c in dict.fromkeys(_SMM_NEEDS + _SMM_KEEPS) if c in panel.columns]
     lagged = over_history(
-        panel.select(*used),
+        narrowed(panel, *used),
         "loan_id",
         "reporting_period",
         lambda w: {
@@ -106,7 +106,7 @@ def transition_matrix(
     a destination. ``require_adjacent`` keeps only steps to the very next calendar month.
     """
     steps = over_history(
-        panel.select("loan_id", "reporting_period", "delinquency_state", "current_upb"),
+        narrowed(panel, "loan_id", "reporting_period", "delinquency_state", "current_upb"),
         "loan_id",
         "reporting_period",
         lambda w: {

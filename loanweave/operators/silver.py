@@ -6,13 +6,13 @@ import datetime as dt
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanweave.fixed import CREDIT_EVENT_CODES, PREPAYMENT_CODE, SOURCE_COLUMNS, TERMINAL_EVENTS
 from loanweave.functions.columns import is_true, parse_month, ratio, yes_flag
-from loanweave.operators.ordered import MAX_HISTORY
-from loanweave.storage import WIDE_PROJECTIONS, fresh_path, settings
+from loanweave.operators.ordered import LONG, MAX_HISTORY
+from loanweave.storage import WIDE_PROJECTIONS, fresh_path, settings, written
 
 
 def delinquency_months(status: Column) -> Column:
@@ -191,19 +191,44 @@ def build_panel(performance: DataFrame, origination: DataFrame) -> DataFrame:
     return joined.withColumns(derived)
 
 
-MAX_BUCKETS = 100_000  # the engine's own default limit
-
 # --- storing the panel -------------------------------------------------------------------
 
 
 @dataclass(frozen=True)
 class StoredPanel:
-    """A written panel and what was measured about it."""
+    """A written panel and what was measured about it. ``long_rows`` counts the rows of loans longer
+    than ``MAX_HISTORY``; if there are any, the table has the column ``LONG``, which marks them."""
 
     table: DataFrame
     rows: int
     history: int
-    buckets: int | None
+    buckets: int
+    long_rows: int = 0
+
+
+def _max_buckets(spark: SparkSession) -> int:
+    """The session's own limit on buckets of a table."""
+    return int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+
+
+def _store_long(
+    performance: DataFrame, origination: DataFrame, ids: DataFrame, name: str, files: int
+) -> DataFrame:
+    """Write the panel rows of long histories by year in ranges of (loan, period, row), so that one
+    loan, or one of its months, fills as many tasks and files as its rows need."""
+    spark = performance.sparkSession
+    # Written first, so that the join knows how small these few loans' attributes are.
+    static = written(origination.join(ids, "loan_id", "left_semi"), f"{name}-static")
+    panel = build_panel(performance.join(ids, "loan_id", "left_semi"), static)
+    path = fresh_path(spark, f"{name}-long")
+    (
+        panel.withColumn("__row", F.monotonically_increasing_id())
+        .repartitionByRange(files, "reporting_year", "loan_id", "reporting_period", "__row")
+        .drop("__row")
+        .write.partitionBy("reporting_year")
+        .parquet(path)
+    )
+    return spark.read.schema(panel.schema).parquet(path)
 
 
 def store_panel(
@@ -212,39 +237,42 @@ def store_panel(
     """Build the panel and write it partitioned by year and bucketed by loan.
 
     As-of queries then read one year, and every per-loan window or aggregate runs without a
-    shuffle. The monthly rows are placed by loan once, for the join and the buckets alike. They
-    are counted first: the total sizes the buckets, and if one loan is longer than
-    ``MAX_HISTORY`` rows no buckets are made, since its bucket would be one task's work.
+    shuffle. The monthly rows are placed by loan once, for the join and the buckets alike, and are
+    counted first, which sizes the buckets. A loan longer than ``MAX_HISTORY`` rows would make its
+    bucket one task's work: such loans are stored beside the buckets, by period, and marked in the
+    column ``LONG``; the other loans stay bucketed, and ``over_history`` reads both.
     """
     spark = performance.sparkSession
     # Rows without a loan, or of none in ``origination``, never reach the panel.
     performance = performance.where(F.col("loan_id").isNotNull())
     known = origination.select("loan_id").distinct()
-    sizes = (
+    counts = (
         performance.join(known, "loan_id", "left_semi").groupBy("loan_id")
         .agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.max("n").alias("longest"), F.sum("n").alias("rows"))
-        .first()
     )
-    rows, history = int(sizes["rows"] or 0), int(sizes["longest"] or 0)
-    path = fresh_path(spark, name)
+    sizes = counts.agg(F.max("n").alias("longest"), F.sum("n").alias("rows")).first()
+    rows, history, long_rows, long = int(sizes["rows"] or 0), int(sizes["longest"] or 0), 0, None
     with settings(spark, WIDE_PROJECTIONS):
         if history > MAX_HISTORY:
-            panel = build_panel(performance, origination)
-            panel.write.partitionBy("reporting_year").parquet(path)
-            stored = spark.read.schema(panel.schema).parquet(path)
-            return StoredPanel(stored, rows, history, None)
+            ids = written(counts.where(F.col("n") > MAX_HISTORY), f"{name}-ids")
+            long_rows = int(ids.agg(F.sum("n")).first()[0])
+            files = max(spark.sparkContext.defaultParallelism, math.ceil(long_rows / rows_per_file))
+            long = _store_long(performance, origination, ids, name, files)
+            performance = performance.join(ids, "loan_id", "left_anti")
         width = spark.sparkContext.defaultParallelism
-        buckets = min(MAX_BUCKETS, max(width, math.ceil(rows / rows_per_file)))
+        buckets = min(_max_buckets(spark), max(width, math.ceil((rows - long_rows) / rows_per_file)))
         (
             build_panel(performance.repartition(buckets, "loan_id"), origination)
             .write.partitionBy("reporting_year")
             .bucketBy(buckets, "loan_id")
             .sortBy("loan_id", "reporting_period")
-            .option("path", path)
+            .option("path", fresh_path(spark, name))
             .saveAsTable(name)
         )
-    return StoredPanel(spark.table(name), rows, history, buckets)
+    table = spark.table(name)
+    if long is not None:
+        table = table.withColumn(LONG, F.lit(False)).unionByName(long.withColumn(LONG, F.lit(True)))
+    return StoredPanel(table, rows, history, buckets, long_rows)
 
 
 # --- slices and summaries ----------------------------------------------------------------

@@ -5,6 +5,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from loanweave.operators import features as X
+from loanweave.operators import gold as G
 from loanweave.operators import ordered
 from loanweave.operators import performance as P
 from loanweave.operators import silver as S
@@ -89,18 +91,85 @@ def test_store_panel_buckets_bounded_histories(spark):
     assert "hashpartitioning(loan_id" not in scan
 
 
-def test_store_panel_keeps_a_hot_loan_out_of_buckets(spark, monkeypatch):
-    plain = S.store_panel(_performance(spark, 300), _origination(spark), "plain_panel")
-    expected = P.transition_matrix(plain.table, plain.history).toPandas()
+def _half_in_one_loan(spark):
+    """300 months of one loan and of twelve others together; every seventh month has two rows."""
+    rows = [("hot", 1900 + i // 12, i % 12 + 1, i) for i in range(300)]
+    rows += [(f"cold{k}", 1918 + i // 12, i % 12 + 1, i) for k in range(12) for i in range(25)]
+    rows = [(k, dt.date(y, m, 1), i, 100_000.0 - 100 * i - 7 * twice)
+            for k, y, m, i in rows for twice in range(1 + (i % 7 == 3))]
+    base = spark.createDataFrame(
+        rows, "loan_id string, reporting_period date, loan_age bigint, current_upb double")
+    model = _performance(spark, 1)
+    late = F.when(F.col("loan_age") % 5 == 0, 1).otherwise(0).cast("bigint")
+    extra = {f.name: F.lit(None).cast(f.dataType) for f in model.schema if f.name not in base.columns}
+    return base.withColumns(extra).withColumns({
+        "current_interest_rate": F.lit(4.0), "remaining_term": (400 - F.col("loan_age")).cast("bigint"),
+        "delinquency_months": late, "modification_flag": F.col("loan_age") % 11 == 0,
+        "delinquency_state": F.when(late == 1, "DQ30").otherwise("CURRENT"),
+        "zero_balance_code": F.when(F.col("loan_age") == 24, "01"),
+    })
+
+
+def _described(spark):
+    """Origination of those loans with the attributes that features code."""
+    ids = [("hot",), *[(f"cold{k}",) for k in range(12)]]
+    base = spark.createDataFrame(ids, "loan_id string")
+    text = {"loan_purpose": "P", "occupancy": "P", "property_type": "SF", "property_state": "CA",
+            "channel": "R"}
+    extra = {c: F.lit(text.get(c)) if c in text else F.lit(700.0) for c in S._FROM_ORIGINATION}
+    return base.withColumns(extra | {"origination_date": F.lit(dt.date(1899, 12, 1))})
+
+
+AT = dt.date(1919, 6, 1)
+PER_LOAN = {
+    "smm": lambda t, n: P.compute_smm(t, n),
+    "transition_matrix": lambda t, n: P.transition_matrix(t, n),
+    "cpr_history": lambda t, n: G.cpr_history(t, n),
+    "roll_rates_by_vintage": lambda t, n: G.roll_rates_by_vintage(t, n),
+    "delinquency_history": lambda t, n: X.delinquency_history(t, AT, history=n),
+    "snapshot_at": lambda t, n: X.snapshot_at(t, AT, history=n),
+    "model_snapshots": lambda t, n: X.model_snapshots(t, n),
+    "asof_features": lambda t, n: X.asof_features(t, AT, n),
+}
+
+
+def test_one_loan_with_half_of_the_rows_changes_no_result(spark, monkeypatch):
+    """It is stored beside the buckets; the others stay bucketed and need no shuffle."""
+    performance, origination = _half_in_one_loan(spark), _described(spark)
+    plain = S.store_panel(performance, origination, "plain_panel")
+    rows = {k: sorted(map(repr, q(plain.table, plain.history).collect())) for k, q in PER_LOAN.items()}
+    assert all(rows.values())
     for module in (S, ordered):
         monkeypatch.setattr(module, "MAX_HISTORY", 50)
     monkeypatch.setattr(ordered, "BLOCK_ROWS", 16)
-    stored = S.store_panel(_performance(spark, 300), _origination(spark), "hot_panel")
-    assert stored.buckets is None
-    got = P.transition_matrix(stored.table, stored.history).toPandas()
-    key = ["cohort_month", "from_state", "to_state"]
-    assert got.sort_values(key).reset_index(drop=True).equals(
-        expected.sort_values(key).reset_index(drop=True))
+    stored = S.store_panel(performance, origination, "hot_panel", rows_per_file=50)
+    assert (stored.rows, stored.history, stored.long_rows) == (plain.rows, 343, 343)
+    assert stored.table.drop(ordered.LONG).exceptAll(plain.table).count() == 0
+    marked = stored.table.where(F.col(ordered.LONG))
+    assert {r[0] for r in marked.select("loan_id").distinct().collect()} == {"hot"}
+    assert marked.count() == 343 and len(marked.inputFiles()) > 7  # many ranges of one loan
+    for name, query in PER_LOAN.items():
+        got = query(stored.table, stored.history)
+        assert ordered.LONG not in got.columns
+        assert sorted(map(repr, got.collect())) == rows[name], name
+    short = stored.table.where(~F.col(ordered.LONG))
+    plan = P.transition_matrix(short.drop(ordered.LONG), 50)._jdf.queryExecution().toString()
+    assert "hashpartitioning(loan_id" not in plan[plan.index("Physical Plan"):]
+
+
+@pytest.mark.parametrize("column", [None, ordered.LONG])
+def test_only_long_histories_are_cut(spark, monkeypatch, column):
+    """With or without the mark, and for a null key, too."""
+    rows = [(k, i // 2, float(i * 7 % 5)) for k, n in (("a", 90), (None, 70), ("b", 30)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, at int, x double")
+    build = lambda w: {"sum": F.sum("x").over(w.rowsBetween(-3, 2)), "last": F.lag("x").over(w)}
+    want = sorted(map(repr, ordered.over_history(df, "k", "at", build, 3, 2).collect()))
+    monkeypatch.setattr(ordered, "MAX_HISTORY", 50)
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 8)
+    marked = df.withColumn(column, ~F.col("k").eqNullSafe("b")) if column else df
+    got = ordered.over_history(marked, "k", "at", build, 3, 2)
+    assert got.columns == ["k", "at", "x", "sum", "last"]
+    assert sorted(map(repr, got.collect())) == want
 
 
 def test_ids_that_never_reach_the_panel_do_not_shape_it(spark, monkeypatch):
