@@ -274,11 +274,8 @@ def _check(
     )
 
 
-def reconcile_counts(origination: DataFrame, panel: DataFrame) -> DataFrame:
-    """Distinct loans on file against distinct loans in the panel."""
-    counts = origination.agg(F.countDistinct("loan_id").alias("a")).withColumn(
-        "b", _distinct_loans(panel)
-    )
+def _counts_check(counts: DataFrame) -> DataFrame:
+    """From ``a`` loans on file and ``b`` loans in the panel."""
     a, b = F.col("a"), F.col("b")
     return _check(
         counts, "origination_vs_panel_unique_loans", a, b, a - b, b, lambda off: off < 1.0,
@@ -286,13 +283,8 @@ def reconcile_counts(origination: DataFrame, panel: DataFrame) -> DataFrame:
     )
 
 
-def reconcile_orphans(performance: DataFrame, origination: DataFrame) -> DataFrame:
-    """Loans with performance rows but no origination row."""
-    orphans = performance.join(origination.select("loan_id"), "loan_id", "left_anti")
-    # A null id never matches and is not a countable loan.
-    counts = performance.agg(F.countDistinct("loan_id").alias("a")).withColumn(
-        "b", _distinct_loans(orphans)
-    )
+def _orphans_check(counts: DataFrame) -> DataFrame:
+    """From ``a`` loans with monthly rows, ``b`` of which are not on file."""
     a, b = F.col("a"), F.col("b")
     return _check(
         counts, "performance_orphan_loan_ids", a, b, b, a - b, lambda off: b == 0,
@@ -300,12 +292,9 @@ def reconcile_orphans(performance: DataFrame, origination: DataFrame) -> DataFra
     )
 
 
-def reconcile_upb(performance: DataFrame, panel: DataFrame) -> DataFrame:
-    """Total balance of the performance rows against the panel's."""
-    counts = performance.agg(F.coalesce(F.sum("current_upb"), F.lit(0.0)).alias("x")).withColumn(
-        "y", panel.select(F.coalesce(F.sum("current_upb"), F.lit(0.0))).scalar()
-    )
-    whole = counts.select(
+def _upb_check(totals: DataFrame) -> DataFrame:
+    """From the balances ``x`` of the monthly rows and ``y`` of the panel."""
+    whole = totals.select(
         F.col("x").cast("bigint").alias("a"),
         F.col("y").cast("bigint").alias("b"),
         (F.col("x") - F.col("y")).cast("bigint").alias("d"),
@@ -317,10 +306,91 @@ def reconcile_upb(performance: DataFrame, panel: DataFrame) -> DataFrame:
     )
 
 
+def reconcile_counts(origination: DataFrame, panel: DataFrame) -> DataFrame:
+    """Distinct loans on file against distinct loans in the panel."""
+    on_file = origination.agg(F.countDistinct("loan_id").alias("a"))
+    return _counts_check(on_file.withColumn("b", _distinct_loans(panel)))
+
+
+def reconcile_orphans(performance: DataFrame, origination: DataFrame) -> DataFrame:
+    """Loans with performance rows but no origination row."""
+    orphans = performance.join(origination.select("loan_id"), "loan_id", "left_anti")
+    # A null id never matches and is not a countable loan.
+    reporting = performance.agg(F.countDistinct("loan_id").alias("a"))
+    return _orphans_check(reporting.withColumn("b", _distinct_loans(orphans)))
+
+
+def reconcile_upb(performance: DataFrame, panel: DataFrame) -> DataFrame:
+    """Total balance of the performance rows against the panel's."""
+    reported = performance.agg(F.coalesce(F.sum("current_upb"), F.lit(0.0)).alias("x"))
+    return _upb_check(reported.withColumn(
+        "y", panel.select(F.coalesce(F.sum("current_upb"), F.lit(0.0))).scalar()
+    ))
+
+
+def reconciliation_figures(
+    origination: DataFrame, performance: DataFrame, panel: DataFrame
+) -> DataFrame:
+    """One row with all figures of the checks, each input read once.
+
+    The three inputs are stacked with only their loan and balance, summed up per loan, then in all.
+    Rows of a loan are merged before the shuffle, so a loan (or a null id) of any share is one row
+    per task. Null ids are not loans; their balances count.
+    """
+    def side(df: DataFrame, name: str, upb: Column) -> DataFrame:
+        return df.select(
+            "loan_id",
+            *[F.lit(name == n).alias(n) for n in ("filed", "reporting", "held")],
+            *[(upb if name == n else F.lit(None)).cast("double").alias(f"{n}_upb")
+              for n in ("reporting", "held")],
+        )
+
+    stacked = (
+        side(origination, "filed", F.lit(None))
+        .unionByName(side(performance, "reporting", F.col("current_upb")))
+        .unionByName(side(panel, "held", F.col("current_upb")))
+    )
+    loans = stacked.groupBy("loan_id").agg(
+        *[F.bool_or(c).alias(c) for c in ("filed", "reporting", "held")],
+        *[F.sum(c).alias(c) for c in ("reporting_upb", "held_upb")],
+    )
+    known, filed = F.col("loan_id").isNotNull(), F.col("filed")
+    return loans.agg(
+        F.count_if(known & filed).alias("filed_loans"),
+        F.count_if(known & F.col("held")).alias("held_loans"),
+        F.count_if(known & F.col("reporting")).alias("reporting_loans"),
+        F.count_if(known & F.col("reporting") & ~filed).alias("orphan_loans"),
+        *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("reporting_upb", "held_upb")],
+    )
+
+
 def reconcile_all(
     origination: DataFrame, performance: DataFrame, panel: DataFrame
 ) -> DataFrame:
-    """All reconciliation checks as one table; a check that fails to plan or run is a FAIL row."""
+    """All reconciliation checks as one table, from one merge of the inputs.
+
+    If that fails to plan or run, the checks run one by one, and each that fails is a FAIL row.
+    """
+    try:
+        figures = written(
+            reconciliation_figures(origination, performance, panel), "reconciliation"
+        )
+    except Exception:  # noqa: BLE001 - which check it concerns is found below
+        return _one_by_one(origination, performance, panel)
+    parts = [
+        (_counts_check, {"a": "filed_loans", "b": "held_loans"}),
+        (_orphans_check, {"a": "reporting_loans", "b": "orphan_loans"}),
+        (_upb_check, {"x": "reporting_upb", "y": "held_upb"}),
+    ]
+    checks = [
+        check(figures.select(*[F.col(c).alias(n) for n, c in names.items()]))
+        for check, names in parts
+    ]
+    return checks[0].unionByName(checks[1]).unionByName(checks[2])
+
+
+def _one_by_one(origination: DataFrame, performance: DataFrame, panel: DataFrame) -> DataFrame:
+    """The checks evaluated apart; a check that fails to plan or run is a FAIL row."""
     checks = {
         "origination_vs_panel_unique_loans": lambda: reconcile_counts(origination, panel),
         "performance_orphan_loan_ids": lambda: reconcile_orphans(performance, origination),

@@ -149,3 +149,27 @@ def test_repeated_run_replaces_its_own_rows_only(spark):
     assert spark.table("dq_results_r").where("run_id <> 'b' AND status = 'FAIL'").count() == 0
     for name in ("dq_results_r", "quarantine_r"):
         spark.sql(f"DROP TABLE {name}")
+
+
+def test_reconciliation_in_one_merge_equals_the_checks_apart(spark):
+    """Orphans, missing loans, repeated and null ids, null balances, one loan with most rows."""
+    origination = spark.createDataFrame(
+        [("a",), ("b",), ("b",), ("never",), (None,)], "loan_id string")
+    months = [("a", 10.5)] * 40 + [("b", None), ("b", 3.25), ("orphan", 7.0), (None, 2.0)]
+    performance = spark.createDataFrame(months, "loan_id string, current_upb double")
+    panel = performance.where("loan_id in ('a', 'b')").withColumn("extra", F.lit(1))
+    for inputs in (
+        (origination, performance, panel),
+        (origination.limit(0), performance, panel.limit(0)),
+        (origination, performance.limit(0), panel.limit(0)),
+        (origination.limit(0), performance.limit(0), panel.limit(0)),
+    ):
+        got = Q.reconcile_all(*inputs)
+        apart = Q._one_by_one(*inputs)
+        assert got.columns == apart.columns
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, apart.collect()))
+    figures = Q.reconciliation_figures(origination, performance, panel).first().asDict()
+    assert figures == {
+        "filed_loans": 3, "held_loans": 2, "reporting_loans": 3, "orphan_loans": 1,
+        "reporting_upb": 432.25, "held_upb": 423.25,
+    }
