@@ -138,3 +138,32 @@ def test_terms_table(spark, rows):
     assert list(table) == ["intercept", *FEATURES, "scale"] and all(r["optimal"] for r in table.values())
     with pytest.raises(ValueError):
         M.fit_aft(rows.where("false"), FEATURES)
+
+
+def test_large_tables_start_at_the_optimum_of_some_rows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 3))
+    x[:, 1] = np.round(x[:, 1])
+    y = (rng.random(6000) < 1 / (1 + np.exp(2 - 2 * x[:, 0] + x[:, 1]))).astype(int)
+    names = ["a", "b", "c"]
+    data = [(*(None if i % 13 == j else float(v) for j, v in enumerate(r)), int(y[i])) for i, r in enumerate(x)]
+    rows = spark.createDataFrame(data, "a double, b double, c double, y int")
+
+    def fit():
+        return linear.fit(rows, names, F.col("y"), linear.LOGISTIC, ridge=1.0)
+
+    whole = fit()
+    monkeypatch.setattr(linear, "START_ROWS", 2000)
+    begun = fit()
+    assert begun.fills == whole.fills and begun.rows == whole.rows == 6000
+    assert begun.gradient <= linear.TOLERANCE and begun.passes < whole.passes
+    assert np.allclose(begun.coefficients, whole.coefficients, rtol=1e-9, atol=1e-12)
+
+
+@pytest.mark.parametrize("some", ["a < 0", "a >= -1", "a is null", "false", "true"])
+def test_medians_do_not_depend_on_the_rows_that_bracket_them(spark, some):
+    data = [(float(i % 101) / 7 - 3, float(i % 3), None, None if i % 2 else float(i)) for i in range(998)]
+    rows = spark.createDataFrame(data, "a double, b double, c double, d double")
+    found = linear.medians(rows, ["a", "b", "c", "d"], rows.where(some))
+    assert found == linear.medians(rows, ["a", "b", "c", "d"])
+    assert found[0] == float(np.median([r[0] for r in data])) and found[1:] == [1.0, 0.0, 498.0]
