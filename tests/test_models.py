@@ -181,6 +181,32 @@ def test_boosting_stops_on_noise(spark):
     assert M.tree_count(M.fit_gbt(half[0], half[1], "event", FEATURES)) < 40
 
 
+@pytest.mark.parametrize("kind", ["class", "value"])
+def test_late_trees_are_left_out_without_a_refit(spark, tmp_path, monkeypatch, kind):
+    """The trees up to the best count are those of one long fit, and score as a fit of that length."""
+    rng = random.Random(3)
+    rows = spark.createDataFrame(
+        [(rng.randint(600, 800), rng.uniform(50, 100), int(rng.random() < 0.5), rng.random(), 1.0) for _ in range(900)],
+        "fico int, original_ltv double, event int, loss_severity double, flat double")
+    half = [r.cache() for r in rows.randomSplit([0.5, 0.5], 1)]
+    features, fits = [*FEATURES, "flat"], []
+    booster, fit, column = {
+        "class": (M.GBTClassifier, lambda: M.fit_gbt(*half, "event", features, max_iter=40), "probability"),
+        "value": (M.GBTRegressor, lambda: M.fit_severity_gbt(*half, features, max_iter=40), "prediction"),
+    }[kind]
+    plain = booster.fit
+    monkeypatch.setattr(booster, "fit", lambda self, df: fits.append((self, df)) or plain(self, df))
+    model = fit()
+    assert len(fits) == 1 and M.tree_count(model) < 40
+    again = plain(fits[0][0].setMaxIter(M.tree_count(model)), fits[0][1])
+    model.stages[-1].write().overwrite().save(f"{tmp_path}/m")
+    for one in (model.stages[-1], type(again).load(f"{tmp_path}/m")):
+        got, expected = (m.transform(fits[0][1]).select(column).collect() for m in (one, again))
+        assert got == expected
+    importance = {r["feature"]: r["importance"] for r in M.feature_importance(model, "event", features).collect()}
+    assert list(map(importance.get, features)) == pytest.approx(again.featureImportances.toArray().tolist())
+
+
 def test_logistic_penalty_is_of_the_summed_loss(rows):
     """Coefficients on standardised features have a zero gradient of loss plus half the ridge."""
     clean = rows.where("fico is not null").limit(400).cache()
