@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loanweave.functions.columns import parse_month
+from loanweave.operators import features as X
 from loanweave.operators import silver as S
 from loanweave.plans import derived
 from loanweave.plans.catalog import sources
@@ -76,3 +77,25 @@ def test_months_read_without_a_parser_equal_those_read_with_one(spark):
     )
     assert df.where(~read.eqNullSafe(parse_month("t"))).count() == 0
     assert df.where(parse_month("t").isNotNull()).count() >= 4
+
+
+def test_a_panel_for_one_use_has_its_columns_and_the_same_rows(spark, loans_dir, monkeypatch):
+    monkeypatch.setattr(derived, "_stored", {})
+    snapshots = Context(spark, loans_dir).snapshots
+    rows = sorted(map(repr, snapshots.collect()))
+    (narrow,) = derived._stored.values()
+    assert set(narrow.table.columns) == {*X.SNAPSHOT_COLUMNS, "reporting_year"}
+    whole = derived.panel(spark, loans_dir)
+    assert (whole.rows, whole.history) == (narrow.rows, narrow.history)
+    assert narrow.table.exceptAll(whole.table.select(narrow.table.columns)).count() == 0
+    assert sorted(map(repr, X.model_snapshots(whole.table, whole.history).collect())) == rows != []
+    # The whole panel serves every use once it is there.
+    assert derived.panel(spark, loans_dir, X.SNAPSHOT_COLUMNS) is whole
+
+
+def test_long_histories_are_stored_with_the_same_columns(spark, loans_dir, monkeypatch):
+    monkeypatch.setattr(S, "MAX_HISTORY", 20)
+    months, loans = derived.silver_performance(spark, loans_dir), derived.silver_origination(spark, loans_dir)
+    narrow = S.store_panel(months, loans, "narrow_long_panel", columns=["current_upb"])
+    assert narrow.long_rows and narrow.table.count() == narrow.rows
+    assert set(narrow.table.columns) == {"loan_id", "reporting_period", "current_upb", "reporting_year", S.LONG}
