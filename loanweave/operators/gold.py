@@ -164,6 +164,14 @@ def loss_severity(panel: DataFrame) -> DataFrame:
     )
 
 
+#: The columns of a panel that ``replines_table`` reads.
+REPLINE_COLUMNS = (
+    "loan_id reporting_period reporting_year is_terminal fico original_ltv original_interest_rate "
+    "origination_year property_state current_upb current_interest_rate dti loan_age "
+    "delinquency_months"
+).split()
+
+
 def replines_table(panel: DataFrame, min_cell_loans: int = 5) -> DataFrame:
     """Collateral cells of the latest active period; cells below the minimum are left out."""
     period = latest_period(panel)

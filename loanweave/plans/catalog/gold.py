@@ -137,7 +137,7 @@ def register(catalog: Catalog) -> None:
     )
     add(
         "replines_sql",
-        lambda c: G.replines_table(c.panel, min_cell_loans=2),
+        lambda c: G.replines_table(c.panel_of(G.REPLINE_COLUMNS).table, min_cell_loans=2),
         f"""SELECT {steps('fico', *GOLD_FICO, '<')} AS fico_band,
               {steps('original_ltv', *GOLD_LTV, '<=')} AS ltv_band,
               {steps('original_interest_rate', *GOLD_COUPON, '<')} AS coupon_band,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loanweave.functions.columns import parse_month
 from loanweave.operators import features as X
+from loanweave.operators import gold as G
 from loanweave.operators import silver as S
 from loanweave.plans import derived
 from loanweave.plans.catalog import sources
@@ -85,10 +86,12 @@ def test_a_panel_for_one_use_has_its_columns_and_the_same_rows(spark, loans_dir,
     rows = sorted(map(repr, snapshots.collect()))
     (narrow,) = derived._stored.values()
     assert set(narrow.table.columns) == {*X.SNAPSHOT_COLUMNS, "reporting_year"}
+    lines = G.replines_table(derived.panel(spark, loans_dir, tuple(G.REPLINE_COLUMNS)).table, 1)
     whole = derived.panel(spark, loans_dir)
     assert (whole.rows, whole.history) == (narrow.rows, narrow.history)
     assert narrow.table.exceptAll(whole.table.select(narrow.table.columns)).count() == 0
     assert sorted(map(repr, X.model_snapshots(whole.table, whole.history).collect())) == rows != []
+    assert sorted(map(repr, G.replines_table(whole.table, 1).collect())) == sorted(map(repr, lines.collect()))
     # The whole panel serves every use once it is there.
     assert derived.panel(spark, loans_dir, X.SNAPSHOT_COLUMNS) is whole
 
