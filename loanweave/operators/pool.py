@@ -23,6 +23,14 @@ from loanweave.functions.columns import ratio
 from loanweave.operators.collateral import portfolio_metrics
 from loanweave.storage import written
 
+#: The columns of a panel that eligibility, scores, selection and portfolio metrics read.
+POOL_COLUMNS = (
+    "loan_id reporting_period reporting_year is_terminal delinquency_state delinquency_months "
+    "remaining_term loan_age current_upb current_interest_rate fico original_ltv original_cltv dti "
+    "mortgage_insurance_pct occupancy loan_purpose property_type property_state origination_year "
+    "modification_flag"
+).split()
+
 # --- eligibility -------------------------------------------------------------------------
 
 

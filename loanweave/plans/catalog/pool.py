@@ -9,6 +9,7 @@ from loanweave.fixed import SCENARIOS
 from loanweave.operators import pool as P
 from loanweave.operators import scenarios as S
 from loanweave.operators.collateral import portfolio_metrics
+from loanweave.operators.silver import panel_as_of
 from loanweave.plans.catalog.base import Catalog, Context
 from loanweave.plans.catalog.models import CREDIT, LOSS, PREPAY
 from loanweave.plans.oracle import portfolio
@@ -19,9 +20,14 @@ LOSS_OR_NULL = f"case when dti is null then null else {LOSS} end"
 RULES = P.Eligibility(min_remaining_term=330, vintage_min=1998, allowed_property_types=("SF", "CO"))
 
 
+def _latest(c: Context) -> DataFrame:
+    """Active loans of the last period, with the columns that pools read."""
+    return panel_as_of(c.panel_of(P.POOL_COLUMNS).table)
+
+
 def _scores(c: Context) -> DataFrame:
     """Fixed scores of the latest period."""
-    return c.latest.select(
+    return _latest(c).select(
         "loan_id",
         F.expr(CREDIT).alias("credit_event_score"),
         F.expr(PREPAY).alias("prepayment_score"),
@@ -31,12 +37,12 @@ def _scores(c: Context) -> DataFrame:
 
 def _candidates(c: Context) -> DataFrame:
     """Eligible loans of the latest period with fixed scores attached."""
-    return P.attach_scores(P.eligible(c.latest), _scores(c))
+    return P.attach_scores(P.eligible(_latest(c)), _scores(c))
 
 
 def _job(c: Context) -> DataFrame:
     """The whole pool job: candidates and pool, counted."""
-    stages = P.build_pool(c.latest, _scores(c), target_upb=TARGET_UPB)
+    stages = P.build_pool(_latest(c), _scores(c), target_upb=TARGET_UPB)
     counted = [
         rows.groupBy(F.lit(name).alias("stage")).agg(
             F.count(F.lit(1)).alias("loans"), F.sum("current_upb").alias("current_upb"),
@@ -194,7 +200,7 @@ _BASE = (
 
 
 def _base(c: Context, *by: str) -> DataFrame:
-    return S.pool_base(c.latest, 0.015, 0.35, 0.18, by)
+    return S.pool_base(_latest(c), 0.015, 0.35, 0.18, by)
 
 
 def register(catalog: Catalog) -> None:
@@ -205,7 +211,7 @@ def register(catalog: Catalog) -> None:
         "AND current_upb BETWEEN 10000 AND 2000000 AND origination_year >= 1998 "
         "AND property_type IN ('SF', 'CO')"
     )
-    add("eligible_candidates", lambda c: P.eligible(c.latest, RULES).select(*kept),
+    add("eligible_candidates", lambda c: P.eligible(_latest(c), RULES).select(*kept),
         f"SELECT {', '.join(kept)} FROM latest WHERE {eligible}", "current_upb")
     tests = [t.strip() for t in eligible.replace("BETWEEN 10000 AND", "BETWEEN 10000 TO").split("AND")]
     tests = [t.replace(" TO ", " AND ") for t in tests]
@@ -214,7 +220,7 @@ def register(catalog: Catalog) -> None:
     arms = " ".join(f"WHEN NOT ({t}) THEN '{n}'" for t, n in zip(tests, names, strict=True))
     add(
         "exclusion_waterfall",
-        lambda c: P.exclusion_waterfall(c.latest, RULES),
+        lambda c: P.exclusion_waterfall(_latest(c), RULES),
         f"""WITH r AS (SELECT CASE {arms} END AS reason FROM latest)
             SELECT reason, count(*) AS loans FROM r WHERE reason IS NOT NULL GROUP BY 1
             UNION ALL SELECT '_total_excluded', count(reason) FROM r
@@ -256,7 +262,7 @@ def register(catalog: Catalog) -> None:
     )
     add(
         "universe_constraints",
-        lambda c: P.check_constraints(c.latest, _LIMITS),
+        lambda c: P.check_constraints(_latest(c), _LIMITS),
         _constraints("latest"),
         "target actual",
         digits={"actual": 4},

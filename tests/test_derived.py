@@ -12,7 +12,7 @@ from loanweave.operators import features as X
 from loanweave.operators import gold as G
 from loanweave.operators import silver as S
 from loanweave.plans import derived
-from loanweave.plans.catalog import sources
+from loanweave.plans.catalog import pool, sources
 from loanweave.plans.catalog.base import Context
 
 
@@ -96,6 +96,21 @@ def test_a_panel_for_one_use_has_its_columns_and_the_same_rows(spark, loans_dir,
     assert derived.panel(spark, loans_dir, X.SNAPSHOT_COLUMNS) is whole
 
 
+def test_pools_store_the_columns_they_read(spark, loans_dir, monkeypatch):
+    found = []
+    for columns in (tuple(pool.P.POOL_COLUMNS), None):
+        monkeypatch.setattr(derived, "_stored", {})
+        derived.panel(spark, loans_dir, columns)
+        context = Context(spark, loans_dir)
+        guarded = pool.P.guardrails(pool._ranked(context))
+        frames = (pool.P.exclusion_waterfall(pool._latest(context), pool.RULES),
+                  pool.portfolio_metrics(guarded), pool.S.pool_base_from_scores(guarded))
+        found.append([sorted(map(repr, frame.collect())) for frame in frames])
+        (stored,) = derived._stored.values()  # no other panel was stored
+        assert (set(stored.table.columns) == set(pool.P.POOL_COLUMNS)) == (columns is not None)
+    assert found[0] == found[1] and all(found[0])
+
+
 def test_long_histories_are_stored_with_the_same_columns(spark, loans_dir, monkeypatch):
     monkeypatch.setattr(S, "MAX_HISTORY", 20)
     months, loans = derived.silver_performance(spark, loans_dir), derived.silver_origination(spark, loans_dir)
