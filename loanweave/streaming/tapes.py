@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from loanweave.sources.tape import read_tapes, with_source, write_bronze
+from loanweave.sources.tape import TAPES, read_tapes, with_source, write_bronze
 
 
 def ingest_stream(
@@ -23,7 +23,7 @@ def ingest_stream(
     text = (
         spark.readStream.format("text")
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.txt")
+        .option("pathGlobFilter", TAPES)
         .option("maxFilesPerTrigger", files_per_batch)
         .load(raw)
     )

@@ -117,3 +117,12 @@ def test_long_histories_are_stored_with_the_same_columns(spark, loans_dir, monke
     narrow = S.store_panel(months, loans, "narrow_long_panel", columns=["current_upb"])
     assert narrow.long_rows and narrow.table.count() == narrow.rows
     assert set(narrow.table.columns) == {"loan_id", "reporting_period", "current_upb", "reporting_year", S.LONG}
+
+
+def test_tapes_are_stored_compressed(spark, loans_dir, monkeypatch):
+    monkeypatch.setattr(sources, "_written", {})
+    context = Context(spark, loans_dir)
+    names = [r["f"] for r in sources.R.tape_lines(spark, sources.tapes(context)[1]).select(
+        F.input_file_name().alias("f")).distinct().collect()]
+    assert names and all(name.endswith(".txt.gz") for name in names)
+    assert all(r["checksum_matches"] for r in sources._manifest(context).collect())
