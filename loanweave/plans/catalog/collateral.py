@@ -31,7 +31,8 @@ def register(catalog: Catalog) -> None:
     averaged = ("fico", "original_ltv", "dti", "current_interest_rate")
     add(
         "weighted_average",
-        lambda c: c.panel.groupBy("origination_year").agg(
+        lambda c: c.panel_of(("origination_year", "current_upb", *averaged)).table
+        .groupBy("origination_year").agg(
             *[weighted_average(v).alias(f"wa_{v}") for v in averaged]
         ),
         "SELECT origination_year, "

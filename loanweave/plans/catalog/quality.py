@@ -136,7 +136,8 @@ def _half(c: Context) -> DataFrame:
 
 
 def _half_panel(c: Context) -> DataFrame:
-    return c.panel.join(_half(c).select("loan_id"), "loan_id", "left_semi")
+    held = c.panel_of(("loan_id", "current_upb")).table
+    return held.join(_half(c).select("loan_id"), "loan_id", "left_semi")
 
 
 def _validated(c: Context) -> DataFrame:
